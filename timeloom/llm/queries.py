@@ -27,3 +27,4 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op9_chat_formatting)}
+ORACLES: dict[str, str] = {}
