@@ -57,3 +57,8 @@ def free_name(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def bounded(df: DataFrame, rows: int = 400_000) -> DataFrame:
+    """df (small rows, cut off before) marked for a broadcast if it has at most ``rows`` rows, else left to a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
