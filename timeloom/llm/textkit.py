@@ -131,3 +131,27 @@ def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         total += hashes[k : len(hashes) - n + 1 + k] * weights[k]
     return mixed(total + U(n))
+
+
+#: Bytes of letters and digits; those of characters beyond ASCII count as letters.
+DIGIT, LETTER = np.zeros(256, bool), np.zeros(256, bool)
+DIGIT[48:58] = True
+LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def cores(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which, start, end): the words that have a letter or digit, from their first to their last one."""
+    n, place = len(words.data), np.arange(len(words.data))
+    plain = (DIGIT | LETTER)[words.data]
+    after = np.minimum.accumulate(np.where(plain, place, n)[::-1])[::-1]
+    before = np.maximum.accumulate(np.where(plain, place, -1))
+    start, end = after[words.start], before[words.end - 1] + 1
+    which = np.flatnonzero(start < words.end)
+    return which, start[which], end[which]
+
+
+def counted(mask: np.ndarray) -> np.ndarray:
+    """Prefix counts of a mask over bytes."""
+    out = np.zeros(len(mask) + 1, np.int32)
+    np.cumsum(mask, out=out[1:])
+    return out
