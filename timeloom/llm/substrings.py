@@ -68,10 +68,10 @@ def _candidates(window: int, gram: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in slices(batches):
             at, hashes = word_hashes(rows["text"], EXACT)
-            ids, found = rows["doc_id"].to_numpy(np.int64), []
+            ids, found = rows["doc_id"].fillna(0).to_numpy(np.int64), []
             for k, shared in enumerate(rows["anchors"]):
                 own = hashes[at[k] : at[k + 1]]
-                if len(own) >= window:
+                if len(own) >= window and shared is not None:
                     start = np.flatnonzero(np.isin(anchors(own, window, gram).view(np.int64), shared))
                     found.append((windows(own, window)[start], np.full(len(start), ids[k]), start))
             if not found:
@@ -85,7 +85,8 @@ def _candidates(window: int, gram: int):
             same[1:] = ~first[1:] & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])
             lead = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
             later = ~first & ~((doc == doc[lead]) & (start == start[lead])) & ~same
-            yield pd.DataFrame({"key": key[first].view(np.int64), "doc_id": doc[first], "start": start[first], "run": 0})
+            led = np.flatnonzero(first)[np.argsort(order[first])]  # in the order of the texts, in which places compress well
+            yield pd.DataFrame({"key": key[led].view(np.int64), "doc_id": doc[led], "start": start[led], "run": 0})
             doc, start = doc[later], start[later]
             order = np.lexsort((start, doc))
             doc, start = doc[order], start[order]
@@ -100,12 +101,13 @@ def _candidates(window: int, gram: int):
 
 def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, start, run): runs of window starts, in words, whose windows occur earlier; for docs (doc_id, text)."""
-    ids = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = ids.mapInPandas(_index(window, gram), "anchor bigint, lead bigint, members array<bigint>, repeats boolean")
+    ids = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
+    rows = ids.filter("doc_id is not null").mapInPandas(_index(window, gram), "anchor bigint, lead bigint, members array<bigint>, repeats boolean")
     rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).filter("n > 1 or repeats or members is not null")
     own = rows.select("anchor", F.explode(F.concat(F.array("lead"), F.coalesce("members", F.array().cast("array<bigint>")))).alias("doc_id"))
     own = own.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    found = ids.join(own, "doc_id").mapInPandas(_candidates(window, gram), "key bigint, doc_id bigint, start bigint, run bigint")
+    # a left join over the same columns as the last one, so that one shuffle of the texts serves both
+    found = ids.join(own, "doc_id", "left").mapInPandas(_candidates(window, gram), "key bigint, doc_id bigint, start bigint, run bigint")
     place = F.struct("doc_id", "start")
     earliest = F.min(F.when(F.col("run") == 0, place)).over(Window.partitionBy("key"))
     found = found.withColumn("earliest", earliest).filter((F.col("run") > 0) | (place > F.col("earliest")))
