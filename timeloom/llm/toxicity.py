@@ -82,24 +82,26 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 15) -> np.ndarray:
     """Posterior probability that each row is toxic, by expectation maximisation.
 
-    Each voter fires with a rate of its own in either class; the given label is a voter of unknown accuracy too. A voter's
-    evidence is divided by one plus its positive correlations with the others within the classes, so that voters that say
-    the same count as one.
+    A voter that fires speaks for the class in which it fires more often and abstains otherwise; one more voter speaks where
+    none fires, and the given label is a voter of unknown accuracy too. What a firing voter says is divided by one plus its
+    positive correlations with the other voters within the classes, so that voters that always agree count as one.
     """
-    seen = np.column_stack([votes, label]).astype(np.float64)
-    post = np.clip(label.astype(np.float64), 0.05, 0.95)
+    silent, given = 1.0 - votes.any(1), label.astype(np.float64)
+    seen = votes.astype(np.float64)
+    post = np.clip(given, 0.05, 0.95)
     for _ in range(rounds):
-        rate1, rate0 = ((post @ seen + 0.1) / (post.sum() + 1)), (((1 - post) @ seen + 0.1) / ((1 - post).sum() + 1))
-        centred1, centred0 = (seen - rate1) * np.sqrt(post)[:, None], (seen - rate0) * np.sqrt(1 - post)[:, None]
-        cov = centred1.T @ centred1 + centred0.T @ centred0
+        toxic, other = post.sum(), (1 - post).sum()
+        rate = lambda x: ((post @ x + 0.1) / (toxic + 0.2), ((1 - post) @ x + 0.1) / (other + 0.2))
+        rate1, rate0 = rate(seen)
+        centred = np.vstack([(seen - rate1) * np.sqrt(post)[:, None], (seen - rate0) * np.sqrt(1 - post)[:, None]])
+        cov = centred.T @ centred
         scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
         corr = cov / np.outer(scale, scale)
         np.fill_diagonal(corr, 0)
         weight = 1 / (1 + np.clip(corr, 0, 1).sum(1))
-        rate1, rate0 = np.clip(rate1, 1e-4, 1 - 1e-4), np.clip(rate0, 1e-4, 1 - 1e-4)
-        fired, silent = np.log(rate1 / rate0) * weight, np.log((1 - rate1) / (1 - rate0)) * weight
-        prior = np.log((post.sum() + 1) / ((1 - post).sum() + 1))
-        post = _sigmoid(prior + seen @ fired + (1 - seen) @ silent)
+        (none1, none0), (yes1, yes0) = rate(silent), rate(given)
+        logit = np.log((toxic + 1) / (other + 1)) + seen @ (weight * np.log(rate1 / rate0)) + silent * np.log(none1 / none0)
+        post = _sigmoid(logit + given * np.log(yes1 / yes0) + (1 - given) * np.log((1 - yes1) / (1 - yes0)))
     return post
 
 
