@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded, cut
 from .components import components
 from .textkit import LOWER, U, combined, mixed, slices, windows, word_hashes
 
@@ -159,13 +159,15 @@ GROUPS = "array<struct<g:bigint,block:bigint,lead:boolean,part:bigint>>"
 SETS = "g bigint, block bigint, lead boolean, part bigint, doc_id bigint, set binary"
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, words: int, few: int = 20_000) -> DataFrame:
-    """A row for each group of ``wanted`` (doc_id, groups) with the document's full set.
+def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """A row for each group of ``wanted`` (doc_id, group) with the document's full set.
 
-    Up to ``few`` documents, counted first, are broadcast; more are joined by a shuffle.
+    Up to the rows that bounded() allows, the list of documents is broadcast; a longer one is joined by a shuffle.
     """
-    n = wanted.limit(few + 1).count()
-    joined = docs.select("doc_id", "text").join(F.broadcast(wanted) if n <= few else wanted, "doc_id")
+    wanted = cut(wanted)
+    marked = bounded(wanted) is not wanted
+    lists = wanted.groupBy("doc_id").agg(F.collect_list("group").alias("groups"))
+    joined = docs.select("doc_id", "text").join(F.broadcast(lists) if marked else lists, "doc_id")
     return joined.mapInPandas(_with_sets(words), SETS)
 
 
@@ -189,23 +191,24 @@ def links(docs: DataFrame, sketches: DataFrame, words: int, percent: int) -> Dat
     heads = many.select("g", F.col("g").alias("doc_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     of = lambda df, lead: df.select("doc_id", F.struct("g", "block", F.lit(lead).alias("lead"), F.lit(0).cast("long").alias("part")).alias("group"))
     heads = dealt.select("g", "block").distinct().select("g", F.col("g").alias("doc_id"), "block")
-    wanted = of(dealt, False).unionByName(of(heads, True)).groupBy("doc_id").agg(F.collect_list("group").alias("groups"))
-    sets = _sets_of(docs, wanted, words)
+    sets = _sets_of(docs, of(dealt, False).unionByName(of(heads, True)), words)
     star = cut(sets.groupBy("g", "block").applyInPandas(_star_links(percent), "a bigint, b bigint"))
 
     label = components(star)
-    members = buckets.filter("n > 2").select("key", F.explode(F.concat(F.array("lead"), F.coalesce("members", F.array().cast("array<bigint>")))).alias("doc_id"))
+    members = buckets.filter("n > 2").select("key", "least", F.explode(F.concat(F.array("lead"), F.coalesce("members", F.array().cast("array<bigint>")))).alias("doc_id"))
     members = members.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    # of buckets with one content only one is compared
-    mixed_ = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("doc_id")).alias("h1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("h2"))
-    todo = mixed_.filter("low <> high").groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).alias("parts"))
-    todo = cut(members.join(todo, "key"))
+    split = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    # what is left of the buckets of one least document is compared together, and of equal unions only one
+    members = cut(members.join(split, "key").select("least", "doc_id", "component").distinct())
+    unions = members.groupBy("least").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("h1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("h2"))
+    todo = unions.groupBy("n", "h1", "h2").agg(F.min("least").alias("least")).select("least", F.ceil(F.col("n") / BLOCK).alias("parts"))
+    todo = cut(members.join(todo, "least").withColumnRenamed("least", "key"))
     if todo.isEmpty():
         return star
     part = F.pmod(block, F.col("parts"))
     todo = todo.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     pair = F.least("part", "other") * F.col("parts") + F.greatest("part", "other")
-    wanted = todo.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("key").alias("g"), pair.alias("block"), F.lit(False).alias("lead"), "part")).alias("groups"))
+    wanted = todo.select("doc_id", F.struct(F.col("key").alias("g"), pair.alias("block"), F.lit(False).alias("lead"), "part").alias("group"))
     more = _sets_of(docs, wanted, words).join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     return star.unionByName(more.groupBy("g", "block").applyInPandas(_block_links(percent), "a bigint, b bigint"))
 
