@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, lines, mixing, neardup, substrings, toxicity, warc
+from . import chat, decontam, lines, media, mixing, neardup, substrings, toxicity, warc
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -51,5 +55,5 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_line_dedup, op4_toxicity, op5_minhash, op7_warc, op8_decontamination, op9_chat_formatting, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_line_dedup, op4_toxicity, op5_minhash, op6_media, op7_warc, op8_decontamination, op9_chat_formatting, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
