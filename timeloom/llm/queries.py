@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, lines, media, mixing, neardup, substrings, toxicity, warc
+from . import chat, decontam, lines, media, mixing, neardup, pii, substrings, toxicity, warc
 from .common import table
 
 
@@ -17,6 +17,13 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    number = lambda kind: F.size(F.filter("base", lambda s: s["k"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    spans = F.array_sort(F.concat("base", "added"))
+    return found.select("doc_id", *map(number, pii.KINDS[:4]), F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,5 +62,5 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_line_dedup, op4_toxicity, op5_minhash, op6_media, op7_warc, op8_decontamination, op9_chat_formatting, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_pii, op4_toxicity, op5_minhash, op6_media, op7_warc, op8_decontamination, op9_chat_formatting, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
