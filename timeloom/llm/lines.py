@@ -133,3 +133,10 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy: bool = True)
     own = [out[f"`{c}`"] if c != "text" else F.when(out["text"].isNull(), None).when(F.size("_gone") == 0, out["text"]).otherwise(text).alias("text") for c in docs.columns if c not in ("n_lines", "n_removed")]
     # a null text has the size -1 or null, by the session's settings
     return out.select(*own, F.coalesce(F.greatest(F.size("_lines"), F.lit(0)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.greatest(F.size("_gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"))
+
+
+def clean(docs: DataFrame, **options) -> DataFrame:
+    """docs with their own columns only: ``text`` without repeated lines and, if there is one, ``n_chars`` to match it."""
+    out = dedup_lines(docs, **options)
+    own = [F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(out["n_chars"]).alias(c) if c == "n_chars" else out[f"`{c}`"] for c in docs.columns]
+    return out.select(*own)
