@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import once
+
 ESC = "\x1b"
 #: Control strings of common chat templates that texts must not contain as such; the first character of each is set apart.
 CONTROL = r"(<(?=\|)|\|(?=>)|<(?=/?s>)|<(?=<SYS>>)|<(?=</SYS>>)|\[(?=/?INST\]))"
@@ -35,11 +37,11 @@ def format_chat(turns: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> Da
     n = F.size("turns")
     at = lambda i: F.get("turns", i)
     fresh = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (at(i)["role"] != at(i - 1)["role"]))
-    x = x.withColumn("first", fresh)
+    x = once(x, first=fresh)
     block = lambda i, k: F.struct(
         at(i)["role"].alias("role"), F.transform(F.slice("turns", i + 1, F.coalesce(F.get("first", k + 1), n) - i), lambda t: escaped(t["text"])).alias("parts")
     )
-    x = x.withColumn("blocks", F.transform("first", block)).select("conv_id", "blocks")
+    x = once(x, blocks=F.transform("first", block)).select("conv_id", "blocks")
     learned = lambda b: b["role"].isin(*learn)
     head = lambda b: F.concat(F.lit(OPEN), escaped(b["role"]), F.lit(MID))
     formatted = F.array_join(F.transform("blocks", lambda b: F.concat(head(b), F.array_join(b["parts"], NEXT), F.lit(CLOSE))), "")

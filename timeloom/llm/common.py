@@ -62,3 +62,14 @@ def free_name(df: DataFrame, *wanted: str) -> list[str]:
 def bounded(df: DataFrame, rows: int = 400_000) -> DataFrame:
     """df (small rows, cut off before) marked for a broadcast if it has at most ``rows`` rows, else left to a shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def once(df: DataFrame, **columns) -> DataFrame:
+    """df with more columns, each computed once a row: as a generator's output they are not merged into later expressions,
+    where a lambda function would compute them again for each element."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def bound(value, body):
+    """body(value), with value computed once though body uses it often."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, once
 
 #: In the order in which spans of one start are listed; the last two are those that the method adds.
 KINDS = ("email", "ip", "card", "phone", "secret", "number")
@@ -78,7 +78,7 @@ def spans_of(docs: DataFrame) -> DataFrame:
     dotted = F.regexp_replace("t", r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", MARK)
     joined = F.regexp_replace("t", r"(?<=[0-9])[\x20-](?=[0-9])", MARK)
     t = F.col("t")
-    x = x.withColumns({
+    x = once(x, **{
         "email": _some(F.contains(t, F.lit("@")), _found(dotted, EMAIL)),
         "ip": _some(t.rlike(r"[0-9]\.[0-9]"), _found(t, IP)),
         "card": _some(t.rlike(r"[0-9](?:[ -]?[0-9]){11}"), _found(joined, CARD)),
@@ -92,7 +92,7 @@ def spans_of(docs: DataFrame) -> DataFrame:
         _spans(F.col("email"), "email"), _spans(F.filter("ip", small), "ip"),
         _spans(F.filter("card", lambda s: n(s).between(12, 19) & luhn(digits(s["value"]))), "card"), _spans(F.filter("phone", lambda s: n(s).between(9, 15)), "phone"),
     )
-    x = x.withColumn("base", F.array_sort(base))
+    x = once(x, base=F.array_sort(base))
 
     def judged(kind: str) -> Column:
         apart = lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
@@ -151,8 +151,8 @@ def fit(found: DataFrame) -> DataFrame:
         return F.get(F.transform(F.array(F.transform("rows", lambda r: posterior(m, r))), lambda post: F.struct(((F.aggregate(F.zip_with(post, F.col("rows"), lambda p, r: p * r["n"]), F.lit(0.0), add) + 1) / (total(lambda r: r["n"]) + 2)).alias("prior"), rates(post, True).alias("yes"), rates(post, False).alias("no"))), 0)
 
     first = F.struct(F.lit(0.5).alias("prior"), F.array_repeat(F.lit(0.8), VOTES).alias("yes"), F.array_repeat(F.lit(0.2), VOTES).alias("no"))
-    x = x.withColumn("m", F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), first, step))
-    x = x.withColumn("post", F.transform("rows", lambda r: posterior(F.col("m"), r)))
+    x = once(x, m=F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), first, step))
+    x = once(x, post=F.transform("rows", lambda r: posterior(F.col("m"), r)))
 
     def rate(j: Column, positive: bool) -> Column:
         share = lambda i: F.get("post", i) if positive else 1 - F.get("post", i)
@@ -160,7 +160,7 @@ def fit(found: DataFrame) -> DataFrame:
         return (mass(lambda r, i: r["n"] * share(i) * F.get(r["features"], j)) + 0.5) / (mass(lambda r, i: r["n"] * share(i)) + 1)
 
     features = F.sequence(F.lit(0), F.lit(FEATURES - 1))
-    x = x.withColumn("on", F.transform(features, lambda j: F.struct(rate(j, True).alias("p"), rate(j, False).alias("q"))))
+    x = once(x, on=F.transform(features, lambda j: F.struct(rate(j, True).alias("p"), rate(j, False).alias("q"))))
     weight = F.transform("on", lambda r: _logit(r["p"]) - _logit(r["q"]))
     bias = _logit(F.col("m.prior")) + F.aggregate(F.transform("on", lambda r: F.log((1 - r["p"]) / (1 - r["q"]))), F.lit(0.0), add)
     return x.select("m.prior", "m.yes", "m.no", weight.alias("weights"), bias.alias("bias"))
