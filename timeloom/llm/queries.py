@@ -63,4 +63,76 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_pii, op4_toxicity, op5_minhash, op6_media, op7_warc, op8_decontamination, op9_chat_formatting, op10_substring_dedup)}
-ORACLES: dict[str, str] = {}
+#: Words of a text in DuckDB.
+_WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
+
+_OP1 = f"""
+with d as (select doc_id, source, len({_WORDS.format("text")})::bigint as size, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint as h from documents),
+s as (select source, sum(size)::bigint as total, row_number() over (order by source nulls last) - 1 as r from d group by source),
+w as (select source, total, 2 * total as cap, case r % 3 when 0 then 5 when 1 then 2 else 1 end::bigint as w from s),
+c as (select *, sum(cap) over o::bigint - cap as caps_before, sum(w) over o::bigint - w as w_before, sum(w) over ()::bigint as w_all, sum(total) over () * 1.5::double as budget
+ from w window o as (order by cap / w, source nulls last rows unbounded preceding)),
+k as (select *, (budget - caps_before) * w >= cap * (w_all - w_before) as capped from c),
+t as (select source, total, case when capped then cap::double else (budget - coalesce(sum(cap) filter (capped) over (), 0)::bigint) * w / sum(w) filter (not capped) over ()::bigint end as target from k),
+u as (select d.*, t.total, t.target, sum(size) over (partition by d.source order by h range unbounded preceding) as upto, sum(size) over (partition by d.source, h) as own from d join t on t.source is not distinct from d.source),
+p as (select *, case when target >= total then total else target end as r1, least(target - total, total) as r2 from u)
+select doc_id, size, total as source_size, target,
+ (size * (case when r1 >= total or (r1 > 0 and 2 * upto - own <= 2 * r1) then 1 else 0 end + case when total > 0 and r2 >= total or (r2 > 0 and 2 * upto - own <= 2 * r2) then 1 else 0 end))::bigint as taken from p
+"""
+
+_OP2 = r"""
+with l as (select doc_id, text, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from documents),
+n as (select doc_id, pos, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as w from l),
+e as (select array_to_string(w, ' ') as t, any_value(w) as w, min((doc_id, pos)) as place from n where len(w) >= 5 group by 1),
+v as (select t, place, q, array_to_string(list_concat(list_slice(w, 1, q - 1), list_slice(w, q + 1, len(w))), ' ') as v from (select *, unnest(range(1, len(w) + 1)) as q from e)),
+near as (select a.t, min(b.place) as other from v a join v b on a.v = b.v and a.q = b.q group by 1 union all select v.t, e.place from v join e on e.t = v.v union all select e.t, v.place from e join v on v.v = e.t),
+best as (select e.t, e.place, min(near.other) as other from e left join near using (t) group by all),
+k as (select n.*, len(w) < 5 or ((n.doc_id, n.pos) = b.place and not coalesce(b.other < b.place, false)) as kept from n left join best b on b.t = array_to_string(n.w, ' '))
+select doc_id, coalesce(string_agg(line, chr(10) order by pos) filter (kept), '') as text, count(*) as n_lines, count(*) filter (not kept) as n_removed from k group by doc_id
+"""
+
+_OP5 = f"""
+with recursive w as (select doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) = 1 then [w[1]] else list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]) end) as g from w),
+n as (select doc_id, count(*) as n from s group by 1),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as common from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+links as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * common >= 80 * (x.n + y.n - common)),
+sides as (select a, b from links union select b, a from links),
+reach as (select doc_id as node, doc_id as top from n union select r.node, sides.b from reach r join sides on sides.a = r.top),
+c as (select node, min(top) as component_id from reach group by node)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(c.component_id, d.doc_id) as component_id, coalesce(c.component_id, d.doc_id) = d.doc_id as kept from documents d left join n using (doc_id) left join c on c.node = d.doc_id
+"""
+
+_OP7 = r"""
+with p as (select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as hex from pages),
+last as (select hex, max(page_id) as last from p group by hex)
+select page_id, payload_bytes, array_to_string(list_transform(range(8), lambda k: array_to_string(list_transform([32768, 1024, 32, 1], lambda d: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(hex, 5 * k + 1, 5))::bigint // d) % 32 + 1, 1)), '')), '') as payload_digest,
+ case when page_id < last then 'revisit' else 'response' end as record_type, case when page_id < last then last end as refers_to from p join last using (hex)
+"""
+
+#: Control strings of the templates, as in chat.CONTROL; RE2 has no lookahead, and these hold no overlaps but of one bar.
+_ESCAPED = "text"
+for _c in ("<|", "|>", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]"):
+    _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{_c[0]}' || chr(27) || '-' || '{_c[1:]}')"
+_ESCAPED = _ESCAPED.replace("replace(text, '<|'", "replace(replace(text, chr(27), chr(27) || chr(27)), '<|'", 1)
+
+_OP9 = f"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -7, 0, 'user', '{PLANTED}' union all select -7, 1, 'assistant', '{PLANTED}'),
+e as (select *, {_ESCAPED} as escaped, lag(role) over (partition by conv_id order by turn, role, text) as before, lead(role) over (partition by conv_id order by turn, role, text) as behind from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+ coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+ sum(length(escaped) + case when role is distinct from before then {len(chat.OPEN) + len(chat.MID)} + length(role) else {len(chat.NEXT)} end + case when role is distinct from behind then {len(chat.CLOSE)} else 0 end)::bigint as formatted_chars from e group by conv_id
+"""
+
+_OP10 = f"""
+with w as (select doc_id, {_WORDS.format("text")} as w from documents),
+s as (select doc_id, s, sha256(array_to_string(w[s:s + 19], ' ')) as g from (select doc_id, w, unnest(range(1, len(w) - 18)) as s from w)),
+dup as (select doc_id, s from (select *, row_number() over (partition by g order by doc_id, s) as r from s) where r > 1),
+gone as (select distinct doc_id, unnest(range(s, s + 20)) as k from dup),
+x as (select w.doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as k from w),
+y as (select x.doc_id, string_agg(word, ' ' order by x.k) filter (gone.k is null) as kept, count(gone.k) as n_removed from x left join gone on gone.doc_id = x.doc_id and gone.k = x.k group by x.doc_id)
+select w.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join y using (doc_id)
+"""
+
+#: Queries that SQL can express; the others are compared with plain versions in tests.
+ORACLES: dict[str, str] = {"op1_mixing": _OP1, "op2_line_dedup": _OP2, "op5_minhash": _OP5, "op7_warc": _OP7, "op9_chat_formatting": _OP9, "op10_substring_dedup": _OP10}
