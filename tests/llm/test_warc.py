@@ -59,3 +59,29 @@ def test_uncommitted_files_are_not_read(spark, tmp_path):
 
 def test_empty_table(spark):
     assert warc.round_trip(frame(spark, [])).count() == 0
+
+
+def test_records_that_end_with_a_read(spark):
+    pages = [(k, "u", "x" * n) for k, n in enumerate(range(65_000, 65_300, 3))]
+    got = {r["page_id"]: r for r in warc.round_trip(frame(spark, pages)).collect()}
+    assert {k: r["payload_bytes"] for k, r in got.items()} == {k: len(h) for k, _, h in pages}
+    assert all(got[k]["payload_digest"] == digest(h.encode()) for k, _, h in pages)
+    blocks = [warc.record("response", "<urn:x-page:1>", "u", "D", n, b"y" * n, None) for n in range(65_000, 65_300)]
+
+    class File:
+        def __init__(self, data):
+            self.data, self.at = data, 0
+
+        def read(self, n):
+            self.at, out = self.at + n, self.data[self.at : self.at + n]
+            return out
+
+        def seek(self, at):
+            self.at = at
+
+        def tell(self):
+            return min(self.at, len(self.data))
+
+    for wanted in (True, False):
+        seen = [len(block()) if wanted else 1 for _, block in warc.Records(File(b"".join(blocks)))]
+        assert len(seen) == len(blocks)

@@ -79,12 +79,14 @@ class Records:
     def __iter__(self) -> Iterator[tuple[dict[str, str], object]]:
         """(headers, read): read() gives the block; a block that is not read is passed over without being decoded."""
         while True:
-            self.held = self.held.lstrip(b"\r\n")
+            while not (rest := self.held.lstrip(b"\r\n")):
+                self.held = self.file.read(1 << 16)
+                if not self.held:
+                    return
+            self.held = rest
             head = self._head()
             if head is None:
-                if self.held.strip():
-                    raise ValueError("a record header is cut short")
-                return
+                raise ValueError("a record header is cut short")
             if not head.startswith(b"WARC/"):
                 raise ValueError("no WARC record where one should begin")
             headers = _lines(head)
@@ -229,10 +231,9 @@ class WarcSource(DataSource):
 
 
 def _sha1_base32(hexa: Column) -> Column:
-    """Base32 of a SHA-1 given in hex: 32 digits of 5 bits, four at a time from 5 hex digits."""
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-    digit = lambda i: F.conv(F.substring(hexa, F.floor(i / 4).cast("int") * 5 + 1, F.lit(5)), 16, 10).cast("int")
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.substring(F.lit(alphabet), F.floor(digit(i) / F.pow(F.lit(32), 3 - i % 4)).cast("int") % 32 + 1, F.lit(1))), "")
+    """Base32 of a SHA-1 given in hex: five hex digits are four digits of base 32, in another alphabet."""
+    groups = [F.lpad(F.conv(F.substring(hexa, k, 5), 16, 32), 4, "0") for k in range(1, 41, 5)]
+    return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
 def page_id_of(uri: Column) -> Column:
