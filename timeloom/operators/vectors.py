@@ -65,12 +65,18 @@ def recurring(frames: DataFrame, most: int = 8, flat: float = 0.04, share: float
     return per.filter(F.col("share") >= share)
 
 
-def knn_vote(rows: DataFrame, placed: DataFrame, k: int = 3, far: float = 0.6, blocks: int = 8) -> DataFrame:
+def _blocks(*dfs: DataFrame, most: int = 4096) -> int:
+    """Into how many blocks the largest of the tables falls if a block holds ``most`` rows: a counted size, not a constant."""
+    return max(1, *[-(-df.count() // most) for df in dfs])
+
+
+def knn_vote(rows: DataFrame, placed: DataFrame, k: int = 3, far: float = 0.6, blocks: int | None = None) -> DataFrame:
     """id, owner: rows whose k nearest placed rows all have one owner and lie at a mean distance of at most ``far``.
 
     rows: id, embedding. placed: id, embedding, owner. Each block of placed rows meets each block of rows as matrices and
     yields k candidates for a row, so a row sends blocks * k candidates on, however many are placed.
     """
+    blocks = blocks or _blocks(rows, placed)
     deal = lambda df: df.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     left = deal(rows.select("id", "embedding")).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = deal(placed.select("id", "embedding", "owner")).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "embedding", "owner", F.col("_c").alias("_b"), F.col("_b").alias("_c"))
@@ -94,8 +100,9 @@ def knn_vote(rows: DataFrame, placed: DataFrame, k: int = 3, far: float = 0.6, b
     return vote.filter((F.col("_n") == k) & (F.col("_o") == 1) & (F.col("mean") <= far)).select("id", "owner")
 
 
-def close_pairs(rows: DataFrame, most: float, blocks: int = 8) -> DataFrame:
+def close_pairs(rows: DataFrame, most: float, blocks: int | None = None) -> DataFrame:
     """(a, b, distance), a < b: pairs of rows (id, embedding) at a cosine distance of at most ``most``, block against block."""
+    blocks = blocks or _blocks(rows)
     x = rows.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_b")).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     x = x.select("id", "embedding", F.col("_b").alias("_own"), F.least("_b", "_c").alias("_b"), F.greatest("_b", "_c").alias("_c"))
 
