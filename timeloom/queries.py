@@ -17,6 +17,7 @@ from .operators import intervals as iv
 from .operators import library as lib
 from .operators import overrides, speakers, stages
 from .operators import sequences as seq
+from .operators import song
 from .operators import vectors as vec
 from .plans import plans
 
@@ -610,6 +611,84 @@ def q_lang_pair(spark, d):
     return speakers.paired(f, tolerance=3600.0).select("song", "start", "end", F.size("texts").alias("langs"))
 
 
+BEATS = """b as (select episode, t, tag, row_number() over (partition by episode order by t) - 1 as i, count(*) over (partition by episode) as n from frames),
+ph as (select episode, arg_max(phase, (v, -first)) as phase from (select episode, i % 4 as phase, count(*) as v, min(t) as first from b where tag = 'purchase' group by all) group by episode)"""
+
+
+@query(f"""with {FRAMES}, {BEATS}, k as (select b.episode, b.t from b left join ph using (episode) where case when n < 4 then i = 0 else i % 4 = coalesce(phase, 0) end)
+select episode as song, row_number() over (partition by episode order by t) - 1 as bar, t as start from k""")
+def q_bar_grid(spark, d):
+    f = frames(spark, d).select(F.col("episode").alias("song"), "t", "tag")
+    return song.bar_grid(f, f.filter("tag = 'purchase'")).select("song", F.col("bar").cast("long").alias("bar"), "start")
+
+
+def _bars(spark, d):
+    f = frames(spark, d)
+    w = Window.partitionBy("episode").orderBy("t", "frame_id")
+    loud, start = F.col("score"), F.col("t") / 1e6
+    features = F.array(F.col("score"), F.col("cluster_id").cast("double"), (F.col("frame_id") % 10).cast("double"), F.when(F.col("tag") == "view", 1.0).otherwise(0.0))
+    x = f.select(F.col("episode").alias("song"), (F.row_number().over(w) - 1).alias("bar"), start.alias("start"), F.coalesce(F.lead("t").over(w) / 1e6, start + 60).alias("end"), features.alias("features"), (F.col("cluster_id") / 6).alias("vocal"), loud.alias("loudness"))
+    return x.withColumn("refrain", F.lit(None).cast("boolean"))
+
+
+@query(f"""with {FRAMES}, r as (select episode as song, row_number() over (partition by episode order by t, frame_id) - 1 as bar, score, cluster_id::double as c, (frame_id % 10)::double as m, case when tag = 'view' then 1.0::double else 0.0::double end as v from frames),
+x as (select song, bar, 0 as p, score as f from r union all select song, bar, 1, c from r union all select song, bar, 2, m from r union all select song, bar, 3, v from r),
+y as (select *, (f - avg(f) over (partition by song, p)) / (stddev_pop(f) over (partition by song, p) + 1e-9) as z0 from x), z as (select *, z0 / (sqrt(sum(z0 * z0) over (partition by song, bar)) + 1e-9) as z from y),
+e as (select *, max(bar) over (partition by song) as last from z), k as (select range as k from range(-4, 4)),
+n as (select e.song, e.bar, e.p, sum(case when k < 0 then -o.z else o.z end) as d from e cross join k join z o on o.song = e.song and o.p = e.p and o.bar = least(greatest(e.bar + k, 0), e.last) group by all)
+select song, bar, round(sum(d * d), 6) as novelty from n group by song, bar""")
+def q_novelty(spark, d):
+    return song.novelty(_bars(spark, d)).select("song", F.col("bar").cast("long").alias("bar"), F.round("novelty", 6).alias("novelty"))
+
+
+def _sections(spark, d):
+    b = _bars(spark, d)
+    return song.sections(b.join(song.novelty(b), ["song", "bar"]), vocal_on=0.5)
+
+
+@query()
+def q_sections(spark, d):
+    return _sections(spark, d)
+
+
+@query()
+def q_excerpt(spark, d):
+    return song.excerpt(_sections(spark, d), longest=86400.0 * 3, shortest=86400.0)
+
+
+@query()
+def q_slots(spark, d):
+    parts = _sections(spark, d).groupBy("song").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("p")).select("song", F.transform("p", lambda x: F.struct(x["label"].alias("label"), x["start"].alias("start"), x["end"].alias("end"))).alias("sections"))
+    f = frames(spark, d).groupBy(F.col("episode").alias("song")).agg(F.array_sort(F.collect_list(F.col("t") / 1e6)).alias("beats"))
+    bars = q_bar_grid(spark, d).groupBy("song").agg(F.array_sort(F.collect_list(F.col("start") / 1e6)).alias("bars"))
+    return song.slots(parts.join(f, "song").join(bars, "song").withColumn("bpm", F.lit(120.0)), budget=20)
+
+
+@query()
+def q_subtitle_timing(spark, d):
+    f = frames(spark, d).withColumn("i", F.floor((F.col("t") - 1704067200000000) / (6 * HOUR)).cast("int"))
+    speech = f.groupBy("episode", "i").agg((F.max("score") / 500).alias("p"))
+    shown = f.filter("tag = 'view'").select("episode", (F.col("i") * 0.032).alias("start"), (F.col("i") * 0.032 + 0.03).alias("end"))
+    return song.timing(shown, speech, reach=0.2)
+
+
+@query()
+def q_gap_pick(spark, d):
+    bounds = frames(spark, d).groupBy("episode").agg(F.min("t").alias("lo"), (F.max("t") + HOUR).alias("hi"))
+    free = iv.complement(q_interval_merge(spark, d), bounds, ["episode"], "start", "end", HOUR)
+    gaps = free.select(F.col("episode").alias("plan"), (F.col("start") / 1e6).alias("start"), (F.col("end") / 1e6).alias("end"), "place")
+    li = lines(spark, d).select(F.col("episode").alias("plan"), F.col("line_id").alias("line"), (F.col("start") / 1e6).alias("start"), (F.col("end") / 1e6).alias("end"), F.array(F.col("line_id") % 50).alias("shots"), F.array(F.col("kind")).alias("on_screen"), F.lit("view").alias("character"))
+    li = li.withColumns({"heard_in": F.col("start"), "heard_out": F.col("end")})
+    slots = shots(spark, d).select(F.col("episode").alias("plan"), (F.col("idx") % 50).alias("shot"), (F.col("start") / 1e6).alias("start"), (F.col("end") / 1e6).alias("end"))
+    return plans.pick_voice(gaps, li, slots)
+
+
+@query()
+def q_fold_fixes(spark, d):
+    f = placed(spark, d).filter("cluster_id > 0")
+    return overrides.fold_fixes(f.select(F.col("frame_id").alias("seq"), (F.col("episode") * 1000 + F.col("idx")).alias("shot_id"), F.col("cluster_id").alias("from_cluster"), (F.col("cluster_id") % 6 + 1).alias("to_cluster")))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Scene summaries: for each shot its span, its lines, and the share of time that each named character is on screen."""
     named = lib.named_cast(_cast(spark, d), clusters(spark, d), ["episode", "idx"])
