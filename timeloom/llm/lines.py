@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, cut
+from .common import bound, bounded, cut, once
 
 #: Lines of fewer words repeat by chance and are left alone.
 MIN_WORDS = 5
-_zero = F.lit(0).cast("long")
 
 
-def line_words(line: Column) -> Column:
-    return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def plain(line: Column) -> Column:
+    """The words of a line, joined by one blank."""
+    for space in "\t\x0b\x0c\r":
+        line = F.replace(line, F.lit(space), F.lit(" "))
+    one = F.trim(line)
+    return F.when(F.contains(one, F.lit("  ")), F.regexp_replace(one, " {2,}", " ")).otherwise(one)
 
 
-def _halves(n: Column) -> Column:
-    """Up to four keys of a line w: for b = n and b = n - 1 words, its first b // 2 words and its last b - b // 2.
+def n_words(text: Column) -> Column:
+    """Number of words of a plain() text."""
+    return F.when(text == "", 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit(""))) + 1)
+
+
+def _halves(text: Column, n: Column) -> Column:
+    """Up to four keys of a line: for b = n and b = n - 1 words, its first b // 2 words and its last b - b // 2.
 
     If one word is substituted, inserted or deleted, one of these keys of both lines is equal: the one of the half that
     the edit is not in, for b the words of the shorter line.
@@ -25,21 +33,30 @@ def _halves(n: Column) -> Column:
 
     def keys(b: Column) -> list[Column]:
         h = F.floor(b / 2).cast("int")
-        return [F.xxhash64(F.lit("head"), b, F.slice("w", F.lit(1), h)), F.xxhash64(F.lit("tail"), b, F.slice("w", n - (b - h) + 1, b - h))]
+        return [F.xxhash64(F.lit("head"), b, _words_of(text, h)), F.xxhash64(F.lit("tail"), b, _words_of(text, h - b))]
 
     return F.array(*keys(n), *keys(n - 1))
 
 
+def _words_of(text: Column, n: Column) -> Column:
+    """The first n words of a plain text, or the last -n."""
+    return F.call_function("substring_index", text, F.lit(" "), n)
+
+
 def _xor(parts: Column) -> Column:
-    return F.aggregate(parts, _zero, lambda a, x: a.bitwiseXOR(x))
+    return F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
 
 
 def _xor_before(values: Column, m: Column) -> Column:
     """For i in 0..m the XOR of the first i values, by blocks of about sqrt(m) values."""
-    c = F.ceil(F.sqrt(m)).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), c), lambda j: _xor(F.slice(values, j * c + 1, c)))
-    ahead = F.transform(F.sequence(F.lit(0), c), lambda j: _xor(F.slice(blocks, F.lit(1), j)))
-    return F.transform(F.sequence(F.lit(0), m), lambda i: F.get(ahead, F.floor(i / c).cast("int")).bitwiseXOR(_xor(F.slice(values, F.floor(i / c).cast("int") * c + 1, (i % c).cast("int")))))
+
+    def by_blocks(c: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), c), lambda j: _xor(F.slice(values, j * c + 1, c)))
+        ahead = bound(blocks, lambda b: F.transform(F.sequence(F.lit(0), c), lambda j: _xor(F.slice(b, F.lit(1), j))))
+        at = lambda i: F.floor(i / c).cast("int")
+        return bound(ahead, lambda a: F.transform(F.sequence(F.lit(0), m), lambda i: F.get(a, at(i)).bitwiseXOR(_xor(F.slice(values, at(i) * c + 1, (i % c).cast("int"))))))
+
+    return bound(F.ceil(F.sqrt(m)).cast("int"), by_blocks)
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -54,9 +71,9 @@ def _variants(lines: DataFrame) -> DataFrame:
     b = F.when(F.col("half.i") < 2, n).otherwise(n - 1)
     h = F.floor(b / 2).cast("int")
     rest = F.when(F.col("half.i") % 2 == 0, F.slice("w", h + 1, n - h)).otherwise(F.slice("w", F.lit(1), n - (b - h)))
-    x = x.select("doc_id", "pos", F.col("half.key").alias("key"), (F.col("half.i") < 2).alias("same"), rest.alias("r"))
-    x = x.withColumns({"m": F.size("r"), "f": F.transform("r", lambda w, i: F.xxhash64(w, i)), "g": F.transform("r", lambda w, i: F.xxhash64(w, i - 1))})
-    x = x.withColumns({"all": _xor(F.col("f")), "fs": F.when(~F.col("same"), _xor_before(F.col("f"), F.col("m"))), "gs": F.when(~F.col("same"), _xor_before(F.col("g"), F.col("m")))})
+    x = once(x.select("doc_id", "pos", F.col("half.key").alias("key"), (F.col("half.i") < 2).alias("same"), rest.alias("rest")), r=F.col("rest"), m=F.size("rest")).drop("rest")
+    x = once(x, f=F.transform("r", lambda w, i: F.xxhash64(w, i)), g=F.when(~F.col("same"), F.transform("r", lambda w, i: F.xxhash64(w, i - 1)))).drop("r")
+    x = once(x, all=_xor(F.col("f")), fs=F.when(~F.col("same"), _xor_before(F.col("f"), F.col("m"))), gs=F.when(~F.col("same"), _xor_before(F.col("g"), F.col("m")))).drop("g")
     substituted = F.transform("f", lambda v, i: F.struct(F.xxhash64("key", F.lit("s"), i, F.col("all").bitwiseXOR(v)).alias("variant"), F.lit(None).cast("boolean").alias("whole")))
     whole = F.array(F.struct(F.xxhash64("key", F.lit("i"), "m", "all").alias("variant"), F.lit(True).alias("whole")))
     less = lambda v, i: F.struct(
@@ -75,15 +92,21 @@ def one_edit_apart(a: Column, b: Column) -> Column:
     return F.when(n == m, differ <= 1).when(F.abs(n - m) == 1, F.slice(long_, at + 1, F.greatest(n, m)) == F.slice(short, at, F.greatest(n, m))).otherwise(False)
 
 
-def _near(docs: DataFrame, lines: DataFrame, fresh) -> DataFrame:
+def exploded(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, line: the lines of each document; a null doc_id is the least there is."""
+    return docs.select(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+
+
+def _near(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc_id, pos): first places of distinct lines that are one edit from a line with an earlier place, verified."""
     keyed = lines.select("h1", "h2", F.posexplode("halves").alias("i", "key"))
     shared = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select("key")
     matched = keyed.join(shared, "key").groupBy("h1", "h2").agg(F.collect_list(F.struct("i", "key")).alias("halves"))
     matched = cut(lines.select("h1", "h2", "doc_id", "pos").join(matched, ["h1", "h2"]).drop("h1", "h2"))
     # the words of these lines, from one place each
-    text = fresh(docs).select("doc_id", "pos", "w").join(bounded(matched), ["doc_id", "pos"])
-    text = cut(text.groupBy("doc_id", "pos").agg(F.first("halves").alias("halves"), F.max("w").alias("w")))
+    text = exploded(docs).join(bounded(matched), ["doc_id", "pos"])
+    text = text.groupBy("doc_id", "pos").agg(F.first("halves").alias("halves"), F.max("line").alias("line")).withColumn("t", plain(F.col("line")))
+    text = cut(text.select("doc_id", "pos", "halves", F.split("t", " ").alias("w")))
     variants = _variants(text)
     place = F.struct("doc_id", "pos")
     mine = lambda c, name: F.min(F.when(c, place)).alias(name)
@@ -111,28 +134,26 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy: bool = True)
     lines with equal variants are compared with the earliest only.
     """
 
-    def fresh(of: DataFrame) -> DataFrame:
-        x = of.select(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        return x.select("doc_id", "pos", line_words(F.col("line")).alias("w")).filter(F.size("w") >= min_words)
-
     base = docs.select("doc_id", "text")
-    rows = fresh(base).select("doc_id", "pos", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2"), _halves(F.size("w")).alias("halves"))
+    rows = exploded(base).select("doc_id", "pos", plain(F.col("line")).alias("t"))
+    rows = rows.withColumn("n", n_words(F.col("t"))).filter(F.col("n") >= min_words).select("doc_id", "pos", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2"), _halves(F.col("t"), F.col("n")).alias("halves"))
     lines = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.max("halves").alias("halves"))
     lines = cut(lines.select("h1", "h2", "at.doc_id", "at.pos", "halves"))
     kept = lines.select("doc_id", "pos")
     if fuzzy:
-        kept = kept.join(_near(base, lines, fresh), ["doc_id", "pos"], "left_anti")
+        kept = kept.join(_near(base, lines), ["doc_id", "pos"], "left_anti")
     kept = kept.groupBy("doc_id").agg(F.collect_list("pos").alias("_kept")).withColumnRenamed("doc_id", "_kept_of")
     out = docs.join(kept, F.coalesce(docs["doc_id"], F.lit(-(1 << 63)).cast("long")) == F.col("_kept_of"), "left")
-    all_ = F.split(docs["text"], "\n")
-    places = F.sequence(F.lit(0), F.size(all_) - 1)
-    eligible = F.filter(F.transform(all_, lambda line, i: F.when(F.size(line_words(line)) >= min_words, i)), lambda i: i.isNotNull())
-    gone = F.array_except(eligible, F.coalesce("_kept", F.array().cast("array<int>")))
-    text = F.array_join(F.transform(F.array_except(places, F.col("_gone")), lambda i: F.get(F.col("_lines"), i)), "\n")
-    out = out.withColumns({"_lines": all_, "_gone": gone})
-    own = [out[f"`{c}`"] if c != "text" else F.when(out["text"].isNull(), None).when(F.size("_gone") == 0, out["text"]).otherwise(text).alias("text") for c in docs.columns if c not in ("n_lines", "n_removed")]
-    # a null text has the size -1 or null, by the session's settings
-    return out.select(*own, F.coalesce(F.greatest(F.size("_lines"), F.lit(0)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.greatest(F.size("_gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"))
+    all_ = F.split(F.col("_text"), "\n")
+    long_ = F.filter(F.transform("_lines", lambda line, i: F.when(n_words(plain(line)) >= min_words, i)), lambda i: i.isNotNull())
+    out = once(out.withColumn("_text", docs["text"]), _lines=all_)
+    out = once(out, _gone=F.array_except(long_, F.coalesce("_kept", F.array().cast("array<int>"))))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    text = F.when(F.size("_gone") == 0, F.col("_text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n"))
+    own = [F.col(f"`{c}`") if c != "text" else F.when(F.col("_text").isNull(), None).otherwise(text).alias("text") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    # the size of null is -1 or null, by the session's settings
+    count = lambda c: F.coalesce(F.greatest(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    return out.select(*own, count("_lines").alias("n_lines"), count("_gone").alias("n_removed"))
 
 
 def clean(docs: DataFrame, **options) -> DataFrame:
