@@ -74,7 +74,7 @@ def _spans(found: Column, kind: str) -> Column:
 def spans_of(docs: DataFrame) -> DataFrame:
     """doc_id, base (sorted spans) and candidates (start, k, end, votes, features), of whole texts; null texts are empty."""
     text = F.coalesce("text", F.lit(""))
-    x = docs.select("doc_id", F.translate(text, MARK, OTHER).alias("t"))
+    x = docs.select("doc_id", F.replace(text, F.lit(MARK), F.lit(OTHER)).alias("t"))
     dotted = F.regexp_replace("t", r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", MARK)
     joined = F.regexp_replace("t", r"(?<=[0-9])[\x20-](?=[0-9])", MARK)
     t = F.col("t")
