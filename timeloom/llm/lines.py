@@ -11,10 +11,16 @@ from .common import bound, bounded, cut, once
 MIN_WORDS = 5
 
 
-def plain(line: Column) -> Column:
-    """The words of a line, joined by one blank."""
+def spaced(text: Column) -> Column:
+    """text with blanks for its other white space inside lines."""
+    out = text
     for space in "\t\x0b\x0c\r":
-        line = F.replace(line, F.lit(space), F.lit(" "))
+        out = F.replace(out, F.lit(space), F.lit(" "))
+    return F.when(text.rlike(r"[\t\x0b\x0c\r]"), out).otherwise(text)
+
+
+def plain(line: Column) -> Column:
+    """The words of a spaced() line, joined by one blank."""
     one = F.trim(line)
     return F.when(F.contains(one, F.lit("  ")), F.regexp_replace(one, " {2,}", " ")).otherwise(one)
 
@@ -93,8 +99,8 @@ def one_edit_apart(a: Column, b: Column) -> Column:
 
 
 def exploded(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, line: the lines of each document; a null doc_id is the least there is."""
-    return docs.select(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    """doc_id, pos, line: the spaced() lines of each document; a null doc_id is the least there is."""
+    return docs.select(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("doc_id"), F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("pos", "line"))
 
 
 def _near(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -135,8 +141,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy: bool = True)
     """
 
     base = docs.select("doc_id", "text")
-    rows = exploded(base).select("doc_id", "pos", plain(F.col("line")).alias("t"))
-    rows = rows.withColumn("n", n_words(F.col("t"))).filter(F.col("n") >= min_words).select("doc_id", "pos", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2"), _halves(F.col("t"), F.col("n")).alias("halves"))
+    rows = once(once(exploded(base), t=plain(F.col("line"))).drop("line"), n=n_words(F.col("t")))
+    rows = rows.filter(F.col("n") >= min_words).select("doc_id", "pos", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2"), _halves(F.col("t"), F.col("n")).alias("halves"))
     lines = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.max("halves").alias("halves"))
     lines = cut(lines.select("h1", "h2", "at.doc_id", "at.pos", "halves"))
     kept = lines.select("doc_id", "pos")
@@ -145,7 +151,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy: bool = True)
     kept = kept.groupBy("doc_id").agg(F.collect_list("pos").alias("_kept")).withColumnRenamed("doc_id", "_kept_of")
     out = docs.join(kept, F.coalesce(docs["doc_id"], F.lit(-(1 << 63)).cast("long")) == F.col("_kept_of"), "left")
     all_ = F.split(F.col("_text"), "\n")
-    long_ = F.filter(F.transform("_lines", lambda line, i: F.when(n_words(plain(line)) >= min_words, i)), lambda i: i.isNotNull())
+    long_ = F.filter(F.transform(F.split(spaced(F.col("_text")), "\n"), lambda line, i: bound(plain(line), lambda t: F.when(n_words(t) >= min_words, i))), lambda i: i.isNotNull())
     out = once(out.withColumn("_text", docs["text"]), _lines=all_)
     out = once(out, _gone=F.array_except(long_, F.coalesce("_kept", F.array().cast("array<int>"))))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
