@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
-from .common import own_path
+from .common import bounded, cut, own_path
 
 SCHEMA = "record_id string, record_type string, target_uri string, record_date string, payload_digest string, refers_to string, content_length bigint, payload_length bigint, payload binary"
 #: Record header behind each column that a predicate can be pushed to.
@@ -245,14 +245,15 @@ def records_of(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     largest page_id is a response, the others are revisits of it; all other records are responses.
 
     Null html counts as empty; pages of one page_id and equal payload are all responses; a null page_id is a response of
-    the record id 0-null that others never refer to. Extra columns are dropped. Only digests and ids are aggregated.
+    the record id 0-null that others never refer to. Extra columns are dropped. Only digests and ids are
+    aggregated; the list of repeated payloads is broadcast if it is short, so that payloads are shuffled only for a long one.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     x = pages.select("page_id", F.col("url").alias("target_uri"), payload.alias("payload"))
     x = x.withColumns({"payload_digest": _sha1_base32(F.sha1("payload")), "payload_length": F.length("payload").cast("long")})
     last = pages.select("page_id", _sha1_base32(F.sha1(payload)).alias("digest"), F.length(payload).alias("bytes")).filter(F.col("bytes") >= min_bytes)
     last = last.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1 and last is not null").select("digest", "last")
-    x = x.join(last, (F.col("payload_digest") == F.col("digest")) & (F.col("payload_length") >= min_bytes), "left")
+    x = x.join(bounded(cut(last)), (F.col("payload_digest") == F.col("digest")) & (F.col("payload_length") >= min_bytes), "left")
     again = F.col("last").isNotNull() & (F.col("page_id") < F.col("last"))
     urn = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     return x.select(
