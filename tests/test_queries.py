@@ -18,3 +18,16 @@ def test_timing_of_all_slots(spark, duck):
     whole = sorted(duck.execute(queries.ORACLES["q_validate_timing"].replace(" where idx <= 40", "")).fetchall())
     assert any(slot > 40 for _, slot, _, _ in whole)
     assert sorted(map(tuple, queries.q_validate_timing(spark, SMALL).collect())) == whole
+
+
+def test_refrains_are_whole_texts(spark, tmp_path):
+    rows = [(1, 0, "user", "The same line!"), (1, 1, "assistant", "the SAME, line"), (2, 0, "user", "The other line"), (3, 0, "user", "Снова"), (3, 1, "assistant", "один раз"), (3, 2, "user", "снова!")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(r["conv_id"], r["turn"]): r["refrain"] for r in queries.q_refrain_count(spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): True, (1, 1): True, (2, 0): False, (3, 0): True, (3, 1): False, (3, 2): True}
+
+
+def test_refrain_bars_is_registered(spark, duck):
+    want = sorted(duck.execute(queries.ORACLES["q_refrain_bars"]).fetchall())
+    assert sorted(map(tuple, queries.QUERIES["q_refrain_bars"](spark, SMALL).collect())) == want
+    assert {r[2] for r in want} == {True, False}

@@ -564,7 +564,7 @@ def q_lyric_end(spark, d):
 @query("select conv_id, turn, count(*) over (partition by lower(regexp_replace(left(text, 3), '[^A-Za-z]', '', 'g'))) > 1 as refrain from conversations")
 def q_refrain_count(spark, d):
     c = _table(spark, d, "conversations")
-    norm = F.lower(F.regexp_replace(F.left("text", F.lit(3)), "[^A-Za-z]", ""))
+    norm = song.sung_text("text")
     n = c.groupBy(norm.alias("_k")).agg((F.count("*") > 1).alias("refrain"))
     return c.withColumn("_n", norm).join(n, F.col("_n").eqNullSafe(F.col("_k"))).select("conv_id", "turn", "refrain")
 
@@ -631,6 +631,20 @@ def _bars(spark, d):
     return x.withColumn("refrain", F.lit(None).cast("boolean"))
 
 
+@query(f"""with {FRAMES}{LINES}, bars as (select episode as song, row_number() over (partition by episode order by t, frame_id) - 1 as bar, t / 3.6e9 as start, coalesce(lead(t) over (partition by episode order by t, frame_id) / 3.6e9, t / 3.6e9 + 1) as "end" from frames),
+l as (select episode as song, start / 3.6e9 as s, start / 3.6e9 + 1 + line_id % 6 as e, count(*) over (partition by episode, lower(regexp_replace(kind || '! ' || line_id % 20, '[^\\p{{L}}\\p{{N}}]+', '', 'g'))) as n from lines)
+select b.song, bar, coalesce(sum(least("end", e) - greatest(start, s)) filter (s is not null), 0) / greatest("end" - start, 1e-9) >= 1 / 3.0::double as refrain from bars b left join (from l where n > 1) l on b.song = l.song and l.s < b."end" and b.start < l.e group by b.song, bar, start, "end" """)
+def q_refrain_bars(spark, d):
+    f = frames(spark, d)
+    start = F.col("t") / 3.6e9
+    following = F.lead("t").over(Window.partitionBy("episode").orderBy("t", "frame_id")) / 3.6e9
+    number = F.row_number().over(Window.partitionBy("episode").orderBy("t", "frame_id")) - 1
+    bars = f.select(F.col("episode").alias("song"), number.cast("long").alias("bar"), start.alias("start"), F.coalesce(following, start + 1).alias("end"))
+    begin = F.col("start") / 3.6e9
+    lyrics = lines(spark, d).select(F.col("episode").alias("song"), begin.alias("start"), (begin + 1 + F.col("line_id") % 6).alias("end"), F.concat("kind", F.lit("! "), F.col("line_id") % 20).alias("text"))
+    return song.refrain_bars(bars, lyrics)
+
+
 @query(f"""with {FRAMES}, r as (select episode as song, row_number() over (partition by episode order by t, frame_id) - 1 as bar, score, cluster_id::double as c, (frame_id % 10)::double as m, case when tag = 'view' then 1.0::double else 0.0::double end as v from frames),
 x as (select song, bar, 0 as p, score as f from r union all select song, bar, 1, c from r union all select song, bar, 2, m from r union all select song, bar, 3, v from r),
 y as (select *, (f - avg(f) over (partition by song, p)) / (stddev_pop(f) over (partition by song, p) + 1e-9) as z0 from x), z as (select *, z0 / (sqrt(sum(z0 * z0) over (partition by song, bar)) + 1e-9) as z from y),
