@@ -75,3 +75,18 @@ def test_null_and_repeated_ids(spark):
     out = neardup.deduplicated(df)
     assert out.columns == df.columns and out.count() == 3
     assert neardup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_lone_rows_count_where_the_size_of_null_is_negative(spark):
+    # near copies in different tasks, so that each bucket row stands alone
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " end")], "doc_id long, text string").repartitionByRange(2, "doc_id")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.ansi.enabled", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k in old:
+            spark.conf.set(k, "false")
+        got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, words=2, percent=80).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {1: 1, 2: 1}

@@ -181,7 +181,9 @@ def links(docs: DataFrame, sketches: DataFrame, words: int, percent: int) -> Dat
     """
     rows = sketches.select("doc_id", "keys").mapInPandas(_tables, "key bigint, lead bigint, members array<bigint>")
     bucket = Window.partitionBy("key")
-    rows = rows.withColumns({"least": F.min("lead").over(bucket), "n": F.sum(F.lit(1) + F.coalesce(F.size("members"), F.lit(0))).over(bucket)})
+    # the size of null is -1 or null, by the session's settings
+    others = F.when(F.col("members").isNull(), 0).otherwise(F.size("members"))
+    rows = rows.withColumns({"least": F.min("lead").over(bucket), "n": F.sum(F.lit(1) + others).over(bucket)})
     buckets = cut(rows.filter("n > 1"))
     pairs = buckets.filter("lead <> least").select(F.col("least").alias("g"), F.col("lead").alias("doc_id"))
     pairs = pairs.unionByName(buckets.filter("members is not null").select(F.col("lead").alias("g"), F.explode("members").alias("doc_id"))).distinct()
