@@ -39,3 +39,12 @@ def test_edges(spark):
     assert out.columns == d.columns and sorted(r["item_id"] for r in out.collect()) == [1, 3]
     assert decontam.contamination(d.limit(0), b).count() == 0
     assert {r["contaminated"] for r in decontam.contamination(d, b.limit(0)).collect()} == {False}
+
+
+def test_items_without_a_window_are_found_word_for_word(spark):
+    numbers = " ".join(str(k * k) for k in range(40))
+    items = [(1, "What is 3 + 4?"), (2, "Anna Berta Clara Dora"), (3, numbers), (4, "12 13 14"), (4, "7 8 9")]
+    docs = [(1, "He asked: what is 3 4 and left"), (2, "What is 3 + 5?"), (3, f"x {numbers} y"), (4, numbers.replace("1444", "1443")), (5, "see anna berta clara, dora"), (6, "of 7 8 9"), (7, "What is"), (8, "3 + 4?")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["coverage"]) for r in decontam.leaks(d, b).collect()}
+    assert got == {(1, 1, 1.0), (3, 3, 1.0), (5, 2, 1.0), (6, 4, 1.0)}

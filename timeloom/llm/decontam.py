@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, cut
-from .textkit import DIGIT, LETTER, LOWER, U, chunks, cores, counted, slices, windows, word_hashes
+from .textkit import DIGIT, LETTER, LOWER, U, chunks, combined, cores, counted, mixed, slices, windows, word_hashes
 
 WINDOW, SHARE, LITERALS = 5, 0.8, 3
+#: Items without a window are looked up word for word from so many words on; one or two words are no copy of anything.
+SHORTEST = 3
 #: Units that become a placeholder behind a number. Fixed values.
 UNITS = (
     "mm cm dm m km in inch inches ft foot feet yd yard yards mile miles mg g kg t lb lbs oz ounce ounces gram grams pound pounds ton tons "
@@ -57,8 +59,24 @@ def canonical(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(counts), *both
 
 
-def _windows(id_column: str, window: int, literals: int, wanted: np.ndarray | None):
-    """h, id, pos, slots of each template window with enough literal words (and, given ``wanted``, a hash among them)."""
+def _whole(values: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of each n values in a row, for any n: by halves that may overlap."""
+    if len(values) < n:
+        return np.zeros(0, np.uint64)
+    width = 1
+    while 2 * width <= n:
+        values, width = combined(values[:-width], values[width:]), 2 * width
+    if width < n:
+        values = combined(values[: width - n], values[n - width :])
+    return mixed(values + U(n))
+
+
+def _windows(id_column: str, window: int, literals: int, wanted: np.ndarray | None, lengths: list[int] | None = None):
+    """h, id, pos, slots of each template window with enough literal words (and, given ``wanted``, a hash among them).
+
+    Items (no ``lengths``) without such a window are one row of all their words as they are: pos -1, slots their number.
+    Documents have such rows for their words at each place and of each of ``lengths``.
+    """
     table = None
     if wanted is not None:
         table = np.zeros(1 << 22, bool)
@@ -67,22 +85,37 @@ def _windows(id_column: str, window: int, literals: int, wanted: np.ndarray | No
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in slices(batches):
             at, template, slots = canonical(rows["text"])
-            ids, out = rows[id_column].to_numpy(np.int64), []
-            every = windows(template, window)
-            if not len(every):
-                continue
+            ids, every = rows[id_column].to_numpy(np.int64), windows(template, window)
             start = np.arange(len(every))
             row = np.searchsorted(at, start, "right") - 1
             literal = counted(slots == 0)
             good = (start + window <= at[row + 1]) & (literal[start + window] - literal[start] >= literals)
+            own = np.where(slots == 0, template, slots)
+            if lengths is None:
+                short = np.flatnonzero(np.isin(np.arange(len(rows)), row[good], invert=True) & (np.diff(at) >= SHORTEST))
+                for k in short:
+                    n = int(at[k + 1] - at[k])
+                    yield pd.DataFrame({"h": _whole(own[at[k] : at[k + 1]], n).view(np.int64), "id": ids[[k]], "pos": np.full(1, -1, np.int32), "slots": [[n]]})
+            for n in lengths or []:
+                whole = _whole(own, n)
+                first = np.arange(len(whole))
+                of = np.searchsorted(at, first, "right") - 1
+                fits = first + n <= at[of + 1]
+                if table is not None:
+                    fits &= table[whole.view(np.int64) & ((1 << 22) - 1)]
+                first = first[fits]
+                if table is not None:
+                    first = first[np.isin(whole[first].view(np.int64), wanted)]
+                if len(first):
+                    yield pd.DataFrame({"h": whole[first].view(np.int64), "id": ids[of[first]], "pos": np.full(len(first), -1, np.int32), "slots": [[n]] * len(first)})
             if table is not None:
                 good &= table[every.view(np.int64) & ((1 << 22) - 1)]
             start = start[good]
             if table is not None:
                 start = start[np.isin(every[start].view(np.int64), wanted)]
             if len(start):
-                own = slots[start[:, None] + np.arange(window)].view(np.int64)
-                yield pd.DataFrame({"h": every[start].view(np.int64), "id": ids[row[start]], "pos": (start - at[row[start]]).astype(np.int32), "slots": list(own)})
+                values = slots[start[:, None] + np.arange(window)].view(np.int64)
+                yield pd.DataFrame({"h": every[start].view(np.int64), "id": ids[row[start]], "pos": (start - at[row[start]]).astype(np.int32), "slots": list(values)})
 
     return run
 
@@ -93,8 +126,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     docs: doc_id, text. benchmark: item_id, text. Both become template words; an item is held if at least ``share`` of its
     distinct windows of ``window`` template words, ``literals`` of them literal at least, are in the document, and if on the
     diagonal (place in document minus place in item) with most hits each slot value of the item stands for one value of the
-    document only. Items or documents without such windows, null texts and null ids match nothing; rows of one id are
-    matched together; repeated benchmark rows change nothing.
+    document only. A row of an item without such windows is held as a whole, its words in a row as they are but for case and
+    punctuation, if it has SHORTEST words at least. Shorter ones, null texts and null ids match nothing; rows of one id are
+    matched together, of which one held as a whole suffices; repeated benchmark rows change nothing.
     """
     items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
     known = cut(items.mapInPandas(_windows("item_id", window, literals, None), ROWS))
@@ -103,10 +137,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     if hashes.limit(MOST_FILTER + 1).count() <= MOST_FILTER:
         wanted = np.sort(hashes.toPandas()["h"].to_numpy(np.int64))
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    seen = rows.mapInPandas(_windows("doc_id", window, literals, wanted), ROWS)
-    need = known.groupBy("id").agg(F.countDistinct("h").alias("need"))
+    lengths = sorted(r["n"] for r in known.filter("pos < 0").select(F.get("slots", F.lit(0)).alias("n")).distinct().collect())
+    seen = rows.mapInPandas(_windows("doc_id", window, literals, wanted, lengths), ROWS)
+    need = known.filter("pos >= 0").groupBy("id").agg(F.countDistinct("h").alias("need"))
     mine = known.select("h", F.col("id").alias("item_id"), F.col("pos").alias("at"), F.col("slots").alias("own"))
     hits = seen.withColumnRenamed("id", "doc_id").join(bounded(mine, 100_000), "h")
+    if lengths:
+        hits = cut(hits)
+        whole = hits.filter("at < 0").select("doc_id", "item_id", F.lit(1.0).alias("coverage")).distinct()
+        hits = hits.filter("at >= 0")
     pairs = F.filter(F.arrays_zip("own", "slots"), lambda s: s["own"] != 0)
     diagonal = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
         F.collect_set("h").alias("hs"), F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots")
@@ -114,7 +153,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     consistent = F.size(F.array_distinct(F.transform("slots", lambda s: s["own"]))) == F.size("slots")
     best = diagonal.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("hs")))).alias("have"), F.max(F.struct("n", -F.col("diagonal"), consistent.alias("ok"))).alias("best"))
     out = best.filter("best.ok").join(bounded(cut(need), 100_000).withColumnRenamed("id", "item_id"), "item_id")
-    return out.withColumn("coverage", F.col("have") / F.col("need")).filter(F.col("have") >= F.col("need") * F.lit(share) - 1e-9).select("doc_id", "item_id", "coverage")
+    out = out.withColumn("coverage", F.col("have") / F.col("need")).filter(F.col("have") >= F.col("need") * F.lit(share) - 1e-9).select("doc_id", "item_id", "coverage")
+    return out.unionByName(whole).groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage")) if lengths else out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
