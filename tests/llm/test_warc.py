@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 
 import pytest
@@ -85,3 +86,20 @@ def test_records_that_end_with_a_read(spark):
     for wanted in (True, False):
         seen = [len(block()) if wanted else 1 for _, block in warc.Records(File(b"".join(blocks)))]
         assert len(seen) == len(blocks)
+
+
+def test_a_second_write_keeps_the_first(spark, tmp_path):
+    path = str(tmp_path / "w")
+    ids = lambda: sorted(r["record_id"] for r in warc.read(spark, path).select("record_id").collect())
+    warc.write_pages(frame(spark, [(1, "u", "a")]), path)
+    warc.write_pages(frame(spark, [(2, "u", "b")]), path)
+    assert ids() == ["<urn:x-page:1>", "<urn:x-page:2>"]
+    warc.records_of(frame(spark, [(3, "u", "c")])).write.format("warc").mode("overwrite").save(path)
+    assert ids() == ["<urn:x-page:3>"]
+
+
+def test_compressed_archives(spark, tmp_path):
+    rows = [(1, b"a"), (2, b"b" * 200_000), (3, b"c")]
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(gzip.compress(warc.record("response", f"<urn:x-page:{k}>", "u", "D", len(b), b, None)) for k, b in rows))
+    assert {(r["record_id"], bytes(r["payload"])) for r in warc.read(spark, str(tmp_path)).collect()} == {(f"<urn:x-page:{k}>", b) for k, b in rows}
+    assert warc.read(spark, str(tmp_path), payload=False).count() == 3

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import uuid
@@ -23,7 +24,11 @@ HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_ur
 #: Bytes after which a writer begins a new file, and files in one reading task at most by size.
 ROLL, PLAN = 64 << 20, 64 << 20
 DATE = "2000-01-01T00:00:00Z"
-MANIFEST = "manifest.json"
+
+
+def is_manifest(name: str) -> bool:
+    """Each commit writes a manifest-<id>.json; a folder of older writes has one manifest.json."""
+    return name == "manifest.json" or (name.startswith("manifest-") and name.endswith(".json"))
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -45,7 +50,7 @@ def _lines(block: bytes) -> dict[str, str]:
 
 
 class Records:
-    """The records of one uncompressed file; payloads are read only if asked for."""
+    """The records of one file, read as it is uncompressed; payloads are read only if asked for."""
 
     def __init__(self, file):
         self.file, self.held = file, b""
@@ -115,11 +120,12 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        """Whole files, put together up to PLAN bytes a task; with a manifest only the files that it names."""
+        """Whole files, put together up to PLAN bytes a task; with manifests only the files that one of them names."""
         where, path = _open(self.path)
         found = where.get_file_info(fs.FileSelector(path, recursive=True)) if where.get_file_info(path).type == fs.FileType.Directory else [where.get_file_info(path)]
-        names = next((set(json.loads(where.open_input_stream(x.path).read())) for x in found if x.base_name == MANIFEST), None)
-        found = sorted((x.path, x.size) for x in found if x.is_file and x.base_name.endswith(".warc") and (names is None or x.base_name in names))
+        lists = [json.loads(where.open_input_stream(x.path).read()) for x in found if is_manifest(x.base_name)]
+        names = set().union(*lists) if lists else None
+        found = sorted((x.path, x.size) for x in found if x.is_file and x.base_name.endswith((".warc", ".warc.gz")) and (names is None or x.base_name in names))
         out, held, total = [], [], 0
         for name, size in found:
             if held and total + size > PLAN:
@@ -136,7 +142,8 @@ class WarcReader(DataSourceReader):
         rows, size = [], 0
         for name in partition.files:
             with where.open_input_file(name) as file:
-                for headers, block in Records(file):
+                # the members of a compressed file are read as one
+                for headers, block in Records(gzip.GzipFile(fileobj=file) if name.endswith(".gz") else file):
                     if not all(headers.get(k, "").removeprefix("sha1:" if k == "warc-payload-digest" else "") in v for k, v in self.wanted):
                         continue
                     kind, length, payload = headers.get("warc-type"), int(headers["content-length"]), None
@@ -177,12 +184,13 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceWriter):
     """Rows (record_id, record_type, target_uri, payload_digest, refers_to, payload_length, payload) as files of records.
 
-    Each attempt of a task writes files of its own names; commit() lists those of the attempts that counted in a manifest,
-    so lost and repeated attempts leave no records behind.
+    Each attempt of a task writes files of its own names; commit() lists those of the attempts that counted in a manifest
+    of its own, so lost and repeated attempts leave no records behind and what stood there before stays. Overwriting drops
+    the manifests before it.
     """
 
-    def __init__(self, options: dict):
-        self.path = options["path"]
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.overwrite = options["path"], overwrite
 
     def write(self, rows: Iterator) -> Written:
         where, path = _open(self.path)
@@ -206,8 +214,11 @@ class WarcWriter(DataSourceWriter):
     def commit(self, messages: list) -> None:
         where, path = _open(self.path)
         where.create_dir(path, recursive=True)
-        with where.open_output_stream(f"{path}/{MANIFEST}") as out:
+        before = [x.path for x in where.get_file_info(fs.FileSelector(path, recursive=True)) if is_manifest(x.base_name)]
+        with where.open_output_stream(f"{path}/manifest-{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps(sorted(n for m in messages if m for n in m.names)).encode())
+        for name in before if self.overwrite else []:
+            where.delete_file(name)
 
     def abort(self, messages: list) -> None:
         """Without a manifest entry the files of an aborted write are never read."""
@@ -227,7 +238,7 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def _sha1_base32(hexa: Column) -> Column:
