@@ -1,9 +1,10 @@
-"""Duplicate passages by relative Lempel-Ziv parsing.
+"""Duplicate passages by hashes of word windows.
 
-Every document is parsed into factors that occur earlier in the corpus. The reference is indexed in blocks, each a share
-of the documents with an index of its own and a share of the key space of one index over all. A factor of at least WINDOW
-words is a duplicate span; at each factor boundary the windows that reach over it are looked up one by one, so the spans
-are exactly the words of windows that start earlier elsewhere.
+A word goes if a window of WINDOW words over it starts earlier elsewhere. This replaces a relative Lempel-Ziv parsing: no
+longest match is extended and no factor boundary is checked, as the answer is a union of windows of one length, which hashes
+decide one by one. Only windows whose anchor (minimiser) is shared are hashed for the search. Each block of documents gives
+the earliest of each of its windows, and its later ones at once; the earliest of all blocks meet by hash. A factor here is a
+run of neighbouring starts of such later windows.
 """
 
 from __future__ import annotations
