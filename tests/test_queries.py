@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from timeloom import queries
@@ -31,3 +33,29 @@ def test_refrain_bars_is_registered(spark, duck):
     want = sorted(duck.execute(queries.ORACLES["q_refrain_bars"]).fetchall())
     assert sorted(map(tuple, queries.QUERIES["q_refrain_bars"](spark, SMALL).collect())) == want
     assert {r[2] for r in want} == {True, False}
+
+
+def test_hashes_hold_all_signs(spark, tmp_path):
+    rng = random.Random(4)
+    base = [rng.choice([-1.0, 1.0]) for _ in range(64)]
+    # copies of one row of signs with some of them turned, anywhere in the 64
+    rows = [(k, [-v if d in rng.sample(range(64), k % 16) else v for d, v in enumerate(base)], k % 3) for k in range(40)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    far = lambda a, b: sum((x > 0) != (y > 0) for x, y in zip(a, b))
+    want = {(a, b, far(x, y)) for a, x, _ in rows for b, y, _ in rows if a < b and a % 5 != b % 5 and far(x, y) <= 8}
+    assert {tuple(r) for r in queries.q_hamming_dupes(spark, str(tmp_path)).collect()} == want
+    assert {d for _, _, d in want} > {1, 2, 4, 5}
+    hit = {k: {y // 10 for a, b, _ in want for x, y in ((a, b), (b, a)) if x == k} for k, _, _ in rows}
+    group = {}
+    for k, _, _ in rows:
+        group.setdefault((k // 10, k % 5), []).append(k)
+    shots = {(s, e, sum(bool(hit[k]) for k in g) / len(g), len(set().union(*(hit[k] for k in g)))) for (s, e), g in group.items() if 2 * sum(bool(hit[k]) for k in g) >= len(g)}
+    assert {tuple(r) for r in queries.q_recurring_share(spark, str(tmp_path)).collect()} == shots
+
+
+def test_knn_vote_has_all_rows_on_both_sides(spark, duck):
+    # the registered SQL splits the table by vec_id % 4; without that split it gives the same rows
+    sql = queries.ORACLES["q_knn_vote"].replace("where vec_id % 4 = 0", "").replace("where vec_id % 4 <> 0", "").replace("from q, p)", "from q, p where q.vec_id <> p.vec_id)")
+    want = sorted(duck.execute(sql).fetchall())
+    assert any(k % 4 for k, _ in want)
+    assert sorted(map(tuple, queries.q_knn_vote(spark, SMALL).collect())) == want
