@@ -19,13 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; set to a temporary one only where the session names none."""
+    """The folder that the driver and all executors see: the one that the session names.
+
+    Where none is named, a local session gets a temporary one, any other a folder in the warehouse, which is shared too.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        local = context.master.startswith("local")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return context.getCheckpointDir()
 
 

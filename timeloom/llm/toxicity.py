@@ -10,11 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .textkit import LOWER, U, chunks, cores, slices
 
 #: Labelled rows that a model is fitted on at most: those with the least hash of their id.
 FIT_ROWS = 20_000
-#: Voters at most; rows that a voter must occur in at least.
+#: Size of the model: voters at most, the surest first; rows that a voter must occur in at least.
 VOTERS, SUPPORT = 384, 5
 #: Lengths in bytes of the word beginnings that pattern voters look at.
 STEMS = (4, 5, 6, 7)
@@ -79,28 +80,39 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _blocks(n: int, rows: int = 1024) -> Iterator[slice]:
+    return (slice(at, at + rows) for at in range(0, n, rows))
+
+
 def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 15) -> np.ndarray:
     """Posterior probability that each row is toxic, by expectation maximisation.
 
     A voter that fires speaks for the class in which it fires more often and abstains otherwise; one more voter speaks where
     none fires, and the given label is a voter of unknown accuracy too. What a firing voter says is divided by one plus its
-    positive correlations with the other voters within the classes, so that voters that always agree count as one.
+    positive correlations with the other voters within the classes, so that voters that always agree count as one. Rows are
+    taken a block at a time, so beside the votes (a byte each) only matrices of voters by voters are held.
     """
-    silent, given = 1.0 - votes.any(1), label.astype(np.float64)
-    seen = votes.astype(np.float64)
+    n, given = len(votes), label.astype(np.float64)
+    silent = 1.0 - votes.any(1)
+    block = lambda s: votes[s].astype(np.float64)
+    square = lambda weight: sum((block(s).T * weight[s]) @ block(s) for s in _blocks(n))
+    fired, both = votes.sum(0, dtype=np.float64), square(np.ones(n))
     post = np.clip(given, 0.05, 0.95)
     for _ in range(rounds):
         toxic, other = post.sum(), (1 - post).sum()
-        rate = lambda x: ((post @ x + 0.1) / (toxic + 0.2), ((1 - post) @ x + 0.1) / (other + 0.2))
-        rate1, rate0 = rate(seen)
-        centred = np.vstack([(seen - rate1) * np.sqrt(post)[:, None], (seen - rate0) * np.sqrt(1 - post)[:, None]])
-        cov = centred.T @ centred
+        smooth = lambda one, zero: ((one + 0.1) / (toxic + 0.2), (zero + 0.1) / (other + 0.2))
+        in_toxic = sum(post[s] @ block(s) for s in _blocks(n))
+        rate1, rate0 = smooth(in_toxic, fired - in_toxic)
+        of_toxic = square(post)
+        spread = lambda gram, sums, rate, mass: gram - np.outer(sums, rate) - np.outer(rate, sums) + mass * np.outer(rate, rate)
+        cov = spread(of_toxic, in_toxic, rate1, toxic) + spread(both - of_toxic, fired - in_toxic, rate0, other)
         scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
         corr = cov / np.outer(scale, scale)
         np.fill_diagonal(corr, 0)
-        weight = 1 / (1 + np.clip(corr, 0, 1).sum(1))
-        (none1, none0), (yes1, yes0) = rate(silent), rate(given)
-        logit = np.log((toxic + 1) / (other + 1)) + seen @ (weight * np.log(rate1 / rate0)) + silent * np.log(none1 / none0)
+        weight = np.log(rate1 / rate0) / (1 + np.clip(corr, 0, 1).sum(1))
+        (none1, none0), (yes1, yes0) = (smooth(post @ x, (1 - post) @ x) for x in (silent, given))
+        said = np.concatenate([block(s) @ weight for s in _blocks(n)]) if n else np.zeros(0)
+        logit = np.log((toxic + 1) / (other + 1)) + said + silent * np.log(none1 / none0)
         post = _sigmoid(logit + given * np.log(yes1 / yes0) + (1 - given) * np.log((1 - yes1) / (1 - yes0)))
     return post
 
@@ -113,22 +125,30 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def inputs(self, counts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        total = counts.sum(1)
-        return np.column_stack([counts > 0, np.log1p(total), np.minimum(1, 20 * total / np.maximum(words, 1))]).astype(np.float64)
+    @staticmethod
+    def inputs(fired: np.ndarray, total: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Which voters fire, how often they fire together, and that as a share of the words, a row for each text."""
+        return np.column_stack([fired, np.log1p(total), np.minimum(1, 20 * total / np.maximum(words, 1))]).astype(np.float64)
 
     def scores(self, texts) -> np.ndarray:
-        return _sigmoid(self.inputs(*_hits(texts, self.voters)) @ self.weights + self.bias)
+        counts, words = _hits(texts, self.voters)
+        return _sigmoid(self.inputs(counts > 0, counts.sum(1), words) @ self.weights + self.bias)
 
 
-def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
-    """Logistic regression on soft labels by Newton steps; the last weight is the bias."""
-    x = np.column_stack([x, np.ones(len(x))])
-    penalty, w = np.full(x.shape[1], ridge), np.zeros(x.shape[1])
+def _regression(x, n: int, y: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
+    """Logistic regression on soft labels by Newton steps; the last weight is the bias. x(slice) gives rows of the inputs."""
+    rows = lambda s: np.column_stack([x(s), np.ones(len(y[s]))])
+    width = rows(slice(0, 1)).shape[1]
+    penalty, w = np.full(width, ridge), np.zeros(width)
     penalty[-1] = 1e-3
     for _ in range(rounds):
-        p = _sigmoid(x @ w)
-        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        bend, slope = np.diag(penalty), -penalty * w
+        for s in _blocks(n):
+            own = rows(s)
+            p = _sigmoid(own @ w)
+            bend += (own.T * (p * (1 - p))) @ own
+            slope += own.T @ (y[s] - p)
+        w += np.linalg.solve(bend, slope)
     return w
 
 
@@ -137,13 +157,17 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, voters: in
 
     docs: doc_id, text. labels: doc_id, toxic (0, 1 or null; contradicting rows of one id count by majority, a tie as toxic).
     Lexicon voters are words, pattern voters are word beginnings, which occur in toxic rows surely more often than in others:
-    the lower 95 % bound of the logarithm of their odds ranks them. Without labels of both classes the model scores all
-    texts alike, at the share of toxic rows.
+    the lower 95 % bound of the logarithm of their odds ranks them. Of several rows of one doc_id the greatest text counts
+    once; null ids and ids without a text are not fitted on. Without labels of both classes, and for empty tables, the model
+    scores all texts alike, at the share of toxic rows. Other columns are not looked at. What reaches the driver is a bit for
+    each voter and two numbers of each of the ``fit_rows`` rows.
     """
     rows = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
     rows = rows.groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("label"))
     sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).withColumnRenamed("doc_id", "label_id")
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("text", "label")
+    sample = cut(sample)
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
+    texts = cut(texts.groupBy("label_id", "label").agg(F.max("text").alias("text")))
     total = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n1, n0 = total.get(1, 0), total.get(0, 0)
     share = (n1 + 0.5) / (n1 + n0 + 1) if n1 + n0 else 0.0
@@ -159,22 +183,27 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, voters: in
     def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in slices(batches):
             found, words = _hits(rows["text"], chosen)
-            yield pd.DataFrame({"label": rows["label"], "words": words, "hits": [np.minimum(x, 255).astype(np.uint8).tobytes() for x in found]})
+            yield pd.DataFrame({"label": rows["label"], "words": words, "total": found.sum(1), "fired": [x.tobytes() for x in np.packbits(found > 0, axis=1)]})
 
-    fitted = texts.mapInPandas(rows_of, "label int, words bigint, hits binary").toPandas()
     # collected rows come in the order of partitions; sums of floating-point numbers must not depend on it
-    fitted = fitted.sort_values(["label", "words", "hits"], kind="stable")
-    hits = np.frombuffer(b"".join(fitted["hits"]), np.uint8).reshape(len(fitted), len(chosen)).astype(np.int32)
-    label = fitted["label"].to_numpy(np.float64)
-    posterior = label_model(hits > 0, label)
-    model = Model(chosen, np.zeros(len(chosen) + 2), 0.0)
-    w = _regression(model.inputs(hits, fitted["words"].to_numpy(np.int64)), posterior)
-    model.weights, model.bias = w[:-1], float(w[-1])
-    return model
+    fitted = sorted(tuple(r) for r in texts.mapInPandas(rows_of, "label int, words bigint, total bigint, fired binary").collect())
+    if not fitted:
+        return flat
+    label, words, total, fired = zip(*fitted)
+    packed = np.frombuffer(b"".join(map(bytes, fired)), np.uint8).reshape(len(fitted), -1)
+    votes = np.unpackbits(packed, axis=1, count=len(chosen)) if len(chosen) else np.zeros((len(fitted), 0), np.uint8)
+    total, words = np.array(total, np.int64), np.array(words, np.int64)
+    posterior = label_model(votes, np.array(label))
+    w = _regression(lambda s: Model.inputs(votes[s], total[s], words[s]), len(votes), posterior)
+    return Model(chosen, w[:-1], float(w[-1]))
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """docs with one more column: each whole text's score, 0 to 1. Null texts count as empty."""
+    """docs with one more column: each whole text's score, 0 to 1.
+
+    Null texts count as empty; each row is scored by its own text alone, so repeated rows, null ids and other columns change
+    nothing. A column of docs called ``name`` is replaced: take a free name to keep it.
+    """
 
     def run(texts: pd.Series) -> pd.Series:
         rows = pd.DataFrame({"text": texts})
@@ -185,6 +214,9 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
 
 def classified(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs (1 from a score of 0.7)."""
+    """doc_id, held_out, score, predicted for each row of docs (1 from a score of 0.7, ties included).
+
+    Repeated rows stay, a null doc_id counts as the empty text for held_out, other columns go, an empty table gives no rows.
+    """
     scored = score(docs.select("doc_id", "text"), fit(docs, labels, **options))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
