@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound, bounded, cut, once
+from .common import bound, bounded, cut, free_name, once
 
-#: Lines of fewer words repeat by chance and are left alone.
-MIN_WORDS = 5
+#: Lines of fewer words are left alone: empty ones only.
+MIN_WORDS = 1
+#: Lines of fewer words go only if they repeat exactly: one word is a large part of them.
+FUZZY_WORDS = 5
 
 
 def spaced(text: Column) -> Column:
@@ -105,7 +107,7 @@ def exploded(docs: DataFrame) -> DataFrame:
 
 def _near(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc_id, pos): first places of distinct lines that are one edit from a line with an earlier place, verified."""
-    keyed = lines.select("h1", "h2", F.posexplode("halves").alias("i", "key"))
+    keyed = lines.filter("halves is not null").select("h1", "h2", F.posexplode("halves").alias("i", "key"))
     shared = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select("key")
     matched = keyed.join(shared, "key").groupBy("h1", "h2").agg(F.collect_list(F.struct("i", "key")).alias("halves"))
     matched = cut(lines.select("h1", "h2", "doc_id", "pos").join(matched, ["h1", "h2"]).drop("h1", "h2"))
@@ -128,42 +130,49 @@ def _near(docs: DataFrame, lines: DataFrame) -> DataFrame:
     return ours.join(theirs, ["doc_id", "pos"]).filter(one_edit_apart(F.col("w"), F.col("w_b"))).select("doc_id", "pos")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy: bool = True) -> DataFrame:
-    """docs with ``text`` replaced, and the added columns n_lines and n_removed (long).
+def added_names(docs: DataFrame) -> list[str]:
+    """The names of the two columns that dedup_lines adds: n_lines and n_removed, or free ones like them."""
+    return free_name(docs, "n_lines", "n_removed")
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS, fuzzy: bool = True) -> DataFrame:
+    """docs with ``text`` replaced, and the added columns n_lines and n_removed (long; see added_names() for clashes).
 
     Lines end at \\n; a line is its words, so white space does not tell lines apart. A line of at least ``min_words`` words
-    goes if a line at most one word away (substituted, inserted or deleted; with ``fuzzy`` false: an equal line) stands
-    earlier: smaller doc_id, or same document and earlier line. Lines are judged on the input, so the earliest of each kind
-    stays. Other lines and all order are kept; kept lines are joined by \\n. Documents always stay, with empty text if all
-    lines went. Null texts stay null and have 0 lines. Null doc_ids come first. Rows of one doc_id are one document: what
-    one of them keeps at a place, the others keep there too. Equal lines meet in aggregates combined before the shuffle;
-    lines with equal variants are compared with the earliest only.
+    goes if an equal line or, from ``fuzzy_words`` words on both sides, a line one word away (substituted, inserted or deleted;
+    with ``fuzzy`` false: none) stands earlier: smaller doc_id, or same document and earlier line. Lines are judged on the
+    input, so the earliest of each kind stays. Other lines and all order are kept; kept lines are joined by \\n. Documents
+    always stay, with empty text if all lines went. Null texts stay null and have 0 lines. Null doc_ids come first. Rows of one
+    doc_id are one document: what one of them keeps at a place, the others keep there too. Other columns stay, whatever their
+    names; an empty table stays empty. Equal lines meet in aggregates combined before the shuffle; lines with equal variants
+    are compared with the earliest only.
     """
-
     base = docs.select("doc_id", "text")
     rows = once(once(exploded(base), t=plain(F.col("line"))).drop("line"), n=n_words(F.col("t")))
-    rows = rows.filter(F.col("n") >= min_words).select("doc_id", "pos", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2"), _halves(F.col("t"), F.col("n")).alias("halves"))
+    halves = F.when(F.col("n") >= fuzzy_words, _halves(F.col("t"), F.col("n")))
+    rows = rows.filter(F.col("n") >= min_words).select("doc_id", "pos", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2"), halves.alias("halves"))
     lines = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.max("halves").alias("halves"))
     lines = cut(lines.select("h1", "h2", "at.doc_id", "at.pos", "halves"))
-    kept = lines.select("doc_id", "pos")
+    places = lines.select("doc_id", "pos")
     if fuzzy:
-        kept = kept.join(_near(base, lines), ["doc_id", "pos"], "left_anti")
-    kept = kept.groupBy("doc_id").agg(F.collect_list("pos").alias("_kept")).withColumnRenamed("doc_id", "_kept_of")
-    out = docs.join(kept, F.coalesce(docs["doc_id"], F.lit(-(1 << 63)).cast("long")) == F.col("_kept_of"), "left")
-    all_ = F.split(F.col("_text"), "\n")
-    long_ = F.filter(F.transform(F.split(spaced(F.col("_text")), "\n"), lambda line, i: bound(plain(line), lambda t: F.when(n_words(t) >= min_words, i))), lambda i: i.isNotNull())
-    out = once(out.withColumn("_text", docs["text"]), _lines=all_)
-    out = once(out, _gone=F.array_except(long_, F.coalesce("_kept", F.array().cast("array<int>"))))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    text = F.when(F.size("_gone") == 0, F.col("_text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    own = [F.col(f"`{c}`") if c != "text" else F.when(F.col("_text").isNull(), None).otherwise(text).alias("text") for c in docs.columns if c not in ("n_lines", "n_removed")]
+        places = places.join(_near(base, lines), ["doc_id", "pos"], "left_anti")
+    kept, of, old, split, gone = free_name(docs, "kept", "kept_of", "old_text", "lines", "gone")
+    places = places.groupBy(F.col("doc_id").alias(of)).agg(F.collect_list("pos").alias(kept))
+    out = docs.join(places, F.coalesce(docs["doc_id"], F.lit(-(1 << 63)).cast("long")) == F.col(of), "left").withColumn(old, docs["text"])
+    judged = F.filter(F.transform(F.split(spaced(F.col(old)), "\n"), lambda line, i: bound(plain(line), lambda t: F.when(n_words(t) >= min_words, i))), lambda i: i.isNotNull())
+    out = once(out, **{split: F.split(F.col(old), "\n")})
+    out = once(out, **{gone: F.array_except(judged, F.coalesce(kept, F.array().cast("array<int>")))})
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
+    text = F.when(F.size(gone) == 0, F.col(old)).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col(split), i)), "\n"))
+    own = [F.col(f"`{c}`") if c != "text" else F.when(F.col(old).isNull(), None).otherwise(text).alias("text") for c in docs.columns]
     # the size of null is -1 or null, by the session's settings
     count = lambda c: F.coalesce(F.greatest(F.size(c), F.lit(0)), F.lit(0)).cast("long")
-    return out.select(*own, count("_lines").alias("n_lines"), count("_gone").alias("n_removed"))
+    n_lines, n_removed = added_names(docs)
+    return out.select(*own, count(split).alias(n_lines), count(gone).alias(n_removed))
 
 
 def clean(docs: DataFrame, **options) -> DataFrame:
     """docs with their own columns only: ``text`` without repeated lines and, if there is one, ``n_chars`` to match it."""
-    out = dedup_lines(docs, **options)
-    own = [F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(out["n_chars"]).alias(c) if c == "n_chars" else out[f"`{c}`"] for c in docs.columns]
+    out, (_, gone) = dedup_lines(docs, **options), added_names(docs)
+    own = [F.when(F.col(gone) > 0, F.length("text").cast("long")).otherwise(out["n_chars"]).alias(c) if c == "n_chars" else out[f"`{c}`"] for c in docs.columns]
     return out.select(*own)

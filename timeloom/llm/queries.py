@@ -83,11 +83,12 @@ select doc_id, size, total as source_size, target,
 _OP2 = r"""
 with l as (select doc_id, text, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from documents),
 n as (select doc_id, pos, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as w from l),
-e as (select array_to_string(w, ' ') as t, any_value(w) as w, min((doc_id, pos)) as place from n where len(w) >= 5 group by 1),
-v as (select t, place, q, array_to_string(list_concat(list_slice(w, 1, q - 1), list_slice(w, q + 1, len(w))), ' ') as v from (select *, unnest(range(1, len(w) + 1)) as q from e)),
-near as (select a.t, min(b.place) as other from v a join v b on a.v = b.v and a.q = b.q group by 1 union all select v.t, e.place from v join e on e.t = v.v union all select e.t, v.place from e join v on v.v = e.t),
+e as (select array_to_string(w, ' ') as t, any_value(w) as w, min((doc_id, pos)) as place from n where len(w) >= 1 group by 1),
+f as (select * from e where len(w) >= 5),
+v as (select t, place, q, array_to_string(list_concat(list_slice(w, 1, q - 1), list_slice(w, q + 1, len(w))), ' ') as v from (select *, unnest(range(1, len(w) + 1)) as q from f)),
+near as (select a.t, min(b.place) as other from v a join v b on a.v = b.v and a.q = b.q group by 1 union all select v.t, f.place from v join f on f.t = v.v union all select f.t, v.place from f join v on v.v = f.t),
 best as (select e.t, e.place, min(near.other) as other from e left join near using (t) group by all),
-k as (select n.*, len(w) < 5 or ((n.doc_id, n.pos) = b.place and not coalesce(b.other < b.place, false)) as kept from n left join best b on b.t = array_to_string(n.w, ' '))
+k as (select n.*, len(w) = 0 or ((n.doc_id, n.pos) = b.place and not coalesce(b.other < b.place, false)) as kept from n left join best b on b.t = array_to_string(n.w, ' '))
 select doc_id, coalesce(string_agg(line, chr(10) order by pos) filter (kept), '') as text, count(*) as n_lines, count(*) filter (not kept) as n_removed from k group by doc_id
 """
 
