@@ -32,10 +32,12 @@ def canonical(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bounds, template, slots): per word its lower-cased hash or placeholder, and the slot's value (0 for a literal).
 
     Punctuation around words is dropped, as are words without letters or digits. A number has digits and no letters; a
-    quantity starts with a digit and has letters; a unit follows a number; a name is capitalised inside a sentence.
+    quantity starts with a digit and has letters; a unit follows a number; any capitalised word counts as a name, so that
+    names match at the beginning of a sentence too: whether such a word is one is left to the slots. A word's form depends
+    on itself and the word before it only, wherever a long text is cut.
     """
     units = np.sort(word_hashes([" ".join(UNITS)], LOWER)[1])
-    counts, found = np.zeros(len(texts) + 1, np.int64), []
+    counts, found, before = np.zeros(len(texts) + 1, np.int64), [], (-1, False)
     for words in chunks(texts, LOWER):
         which, start, end = cores(words)
         row, data = words.row[which], words.data
@@ -43,14 +45,14 @@ def canonical(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not len(which):
             continue
         value = words.hashes(start, end)
-        digits, letters, ends = counted(DIGIT[data]), counted(LETTER[data]), counted(np.isin(data, np.frombuffer(b".!?:;\n", np.uint8)))
+        digits, letters = counted(DIGIT[data]), counted(LETTER[data])
         digit, letter = digits[end] > digits[start], letters[end] > letters[start]
         first, second = data[start], data[np.minimum(start + 1, end - 1)]
-        follows = np.concatenate(([False], row[1:] == row[:-1]))
-        gap = np.concatenate(([0], ends[start[1:]] - ends[end[:-1]]))
         number = digit & ~letter
-        unit = np.concatenate(([False], number[:-1])) & follows & np.isin(value, units)
-        name = follows & (gap == 0) & (first >= 65) & (first <= 90) & ~((second >= 65) & (second <= 90))
+        follows = np.concatenate(([row[0] == before[0] and before[1]], (row[1:] == row[:-1]) & number[:-1]))
+        unit = follows & np.isin(value, units)
+        name = (first >= 65) & (first <= 90) & ~((second >= 65) & (second <= 90))
+        before = (row[-1], number[-1])
         template = value.copy()
         for mask, mark in ((name, NAME), (unit, UNIT), (digit & letter & DIGIT[first], QUANTITY), (number, NUMBER)):
             template[mask] = mark
@@ -124,11 +126,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     """(doc_id, item_id, coverage): documents that hold an item, word for word or with other numbers, names and units.
 
     docs: doc_id, text. benchmark: item_id, text. Both become template words; an item is held if at least ``share`` of its
-    distinct windows of ``window`` template words, ``literals`` of them literal at least, are in the document, and if on the
-    diagonal (place in document minus place in item) with most hits each slot value of the item stands for one value of the
+    distinct windows of ``window`` template words, ``literals`` of them literal at least, are in the document on consistent
+    diagonals (place in document minus place in item): those on which each slot value of the item stands for one value of the
     document only. A row of an item without such windows is held as a whole, its words in a row as they are but for case and
     punctuation, if it has SHORTEST words at least. Shorter ones, null texts and null ids match nothing; rows of one id are
-    matched together, of which one held as a whole suffices; repeated benchmark rows change nothing.
+    matched together, of which one held as a whole suffices; repeated benchmark rows and other columns change nothing; empty
+    tables give no rows.
     """
     items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
     known = cut(items.mapInPandas(_windows("item_id", window, literals, None), ROWS))
@@ -148,11 +151,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
         hits = hits.filter("at >= 0")
     pairs = F.filter(F.arrays_zip("own", "slots"), lambda s: s["own"] != 0)
     diagonal = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
-        F.collect_set("h").alias("hs"), F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots")
+        F.collect_set("h").alias("hs"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots")
     )
     consistent = F.size(F.array_distinct(F.transform("slots", lambda s: s["own"]))) == F.size("slots")
-    best = diagonal.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("hs")))).alias("have"), F.max(F.struct("n", -F.col("diagonal"), consistent.alias("ok"))).alias("best"))
-    out = best.filter("best.ok").join(bounded(cut(need), 100_000).withColumnRenamed("id", "item_id"), "item_id")
+    have = diagonal.filter(consistent).groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("hs")))).alias("have"))
+    out = have.join(bounded(cut(need), 100_000).withColumnRenamed("id", "item_id"), "item_id")
     out = out.withColumn("coverage", F.col("have") / F.col("need")).filter(F.col("have") >= F.col("need") * F.lit(share) - 1e-9).select("doc_id", "item_id", "coverage")
     return out.unionByName(whole).groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage")) if lengths else out
 
