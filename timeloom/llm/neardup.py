@@ -190,7 +190,6 @@ def links(docs: DataFrame, sketches: DataFrame, words: int, percent: int) -> Dat
     block = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
     many = pairs.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     dealt = cut(pairs.join(many, "g").select("g", "doc_id", "blocks", F.pmod(block, F.col("blocks")).alias("block")))
-    heads = many.select("g", F.col("g").alias("doc_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     of = lambda df, lead: df.select("doc_id", F.struct("g", "block", F.lit(lead).alias("lead"), F.lit(0).cast("long").alias("part")).alias("group"))
     heads = dealt.select("g", "block").distinct().select("g", F.col("g").alias("doc_id"), "block")
     sets = _sets_of(docs, of(dealt, False).unionByName(of(heads, True)), words)
@@ -230,12 +229,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     same = full.groupBy("n_shingles", "sum", "mix").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.count("*").alias("n"))
     same = cut(same)
     known = ["n_shingles", "sum", "mix"]
-    equal = full.select("doc_id", *known).join(same.filter("n > 1").select("first", *known), known).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    # a doc_id of several rows may stand for several sets; each set then has its own row of keys
+    copies = same.filter("n > 1").select("first", *known)
+    equal = cut(full.join(copies, known).select("doc_id", "first").filter("doc_id <> first").distinct())
+    # a doc_id of several rows may stand for several sets: only such ids link what their sets are equal to
+    several = full.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
+    bridges = equal.join(several, "doc_id").unionByName(equal.join(several.withColumnRenamed("doc_id", "first"), "first").select("doc_id", "first"))
     reps = same.select(F.col("first").alias("doc_id"), "keys")
     near = links(base.filter("doc_id is not null"), reps, words, percent)
-    label = components(equal.unionByName(near))
-    out = found.select("doc_id", "n_shingles").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    label = components(near.unionByName(bridges.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))))
+    # all other copies take the component of the document that they are equal to, outside of the search for components
+    label = cut(label)
+    others = equal.join(label.select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
+    others = others.join(bounded(label.withColumnRenamed("node", "first")), "first", "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "first").alias("component"))
+    others = others.groupBy("node").agg(F.min("component").alias("component"))
+    out = found.select("doc_id", "n_shingles").join(label.unionByName(others).withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
