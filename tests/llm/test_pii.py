@@ -49,3 +49,10 @@ def test_added_spans_and_redaction(spark):
     out = {r["doc_id"]: r for r in pii.redacted(df).collect()}
     assert out[3]["text"] == 'words and token = "<secret>" more' and out[500]["text"] is None and out[3]["base"] == "x"
     assert pii.personal_data(df.limit(0)).count() == 0
+
+
+def test_each_row_is_redacted_by_its_own_spans(spark):
+    rows = [(1, "hello there x.y@zzz.com please", "a", "b"), (1, "x.y@zzz.com first", "a", "b"), (None, "10.0.0.1", "a", "b"), (1, None, "a", "b")]
+    out = pii.redacted(spark.createDataFrame(rows, "doc_id long, text string, _of string, row string"))
+    assert out.columns == ["doc_id", "text", "_of", "row"]
+    assert {r["text"] for r in out.collect()} == {"hello there <email> please", "<email> first", "<ip>", None}

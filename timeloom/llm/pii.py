@@ -71,10 +71,13 @@ def _spans(found: Column, kind: str) -> Column:
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("k"), s["end"].alias("end")))
 
 
-def spans_of(docs: DataFrame) -> DataFrame:
-    """doc_id, base (sorted spans) and candidates (start, k, end, votes, features), of whole texts; null texts are empty."""
+def spans_of(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, base (sorted spans) and candidates (start, k, end, votes, features), of whole texts; null texts are empty.
+
+    The ``carried`` columns of docs (other names than those here) come along in their rows.
+    """
     text = F.coalesce("text", F.lit(""))
-    x = docs.select("doc_id", F.replace(text, F.lit(MARK), F.lit(OTHER)).alias("t"))
+    x = docs.select("doc_id", *carried, F.replace(text, F.lit(MARK), F.lit(OTHER)).alias("t"))
     dotted = F.regexp_replace("t", r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", MARK)
     joined = F.regexp_replace("t", r"(?<=[0-9])[\x20-](?=[0-9])", MARK)
     t = F.col("t")
@@ -98,7 +101,7 @@ def spans_of(docs: DataFrame) -> DataFrame:
         apart = lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
         return F.transform(F.filter(F.col(kind), apart), lambda s: _judged(s, kind))
 
-    return x.select("doc_id", "base", F.concat(judged("secret"), judged("number")).alias("candidates"))
+    return x.select("doc_id", *carried, "base", F.concat(judged("secret"), judged("number")).alias("candidates"))
 
 
 def _judged(s: Column, kind: str) -> Column:
@@ -166,20 +169,20 @@ def fit(found: DataFrame) -> DataFrame:
     return x.select("m.prior", "m.yes", "m.no", weight.alias("weights"), bias.alias("bias"))
 
 
-def personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, base, added: for each row of docs (doc_id, text) its base spans and the candidates that the classifier accepts.
+def personal_data(docs: DataFrame, threshold: float = 0.5, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the ``carried`` columns, base, added: for each row of docs (doc_id, text) its base spans and the candidates that the classifier accepts.
 
     Spans are (start, k, end), k the place in KINDS, in code points, end exclusive, sorted. Added spans overlap no base span.
     Null texts are empty and have none; without candidates nothing is added. Rows are handled one by one, so nulls, ties,
     repeated rows and extra columns change nothing else; the model (one row of VOTES and FEATURES numbers) is the only thing
     that leaves the executors.
     """
-    found = cut(spans_of(docs))
+    found = cut(spans_of(docs, *carried))
     model = fit(found).first()
     weights = F.array(*map(F.lit, model["weights"]))
     chance = lambda c: _sigmoid(F.lit(model["bias"]) + F.aggregate(F.zip_with(c["features"], weights, lambda f, w: f * w), F.lit(0.0), lambda a, x: a + x))
     added = F.transform(F.filter("candidates", lambda c: chance(c) >= threshold), lambda c: F.struct(c["start"], c["k"], c["end"]))
-    return found.select("doc_id", "base", F.array_sort(added.cast(f"array<{Span}>")).alias("added"))
+    return found.select("doc_id", *carried, "base", F.array_sort(added.cast(f"array<{Span}>")).alias("added"))
 
 
 def listed(spans: Column) -> Column:
@@ -189,11 +192,15 @@ def listed(spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame, **options) -> DataFrame:
-    """docs with each found span of ``text`` replaced by its kind in angle brackets; null texts stay null."""
-    found = personal_data(docs, **options).select(F.col("doc_id").alias("_of"), F.array_sort(F.concat("base", "added")).alias("_spans")).dropDuplicates(["_of"])
-    out = docs.join(found, docs["doc_id"].eqNullSafe(found["_of"]), "left")
-    names = F.array(*map(F.lit, KINDS))
+    """docs with each found span of ``text`` replaced by its kind in angle brackets; null texts stay null.
+
+    Spans are those of the row's own text, so rows of one doc_id may differ; of overlapping spans the first counts. Other
+    columns stay, whatever their names; repeated rows stay; an empty table stays empty.
+    """
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = personal_data(rows, carried=("row",), **options).withColumn("spans", F.array_sort(F.concat("base", "added")))
+    names, text = F.array(*map(F.lit, KINDS)), F.col("row")["text"]
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(docs["text"], a["at"] + 1, s["start"] - a["at"]), F.lit("<"), F.get(names, s["k"]), F.lit(">")).alias("out")))
-    text = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substring(docs["text"], a["at"] + 1, F.length(docs["text"]))))
-    return out.select(*[F.when(docs["text"].isNull(), None).otherwise(text).alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns])
+    step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("<"), F.get(names, s["k"]), F.lit(">")).alias("out")))
+    changed = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    return found.select(*[F.when(text.isNull(), None).otherwise(changed).alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
