@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from timeloom.llm import decontam, lines, mixing, neardup, toxicity
-from timeloom.llm.common import own_path, table
+from timeloom.llm.common import free_name, own_path, table
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not call toxic; it is fitted on the labels of the documents at hand."""
+    """Documents that the classifier does not call toxic; it is fitted on the labels of the documents at hand.
+
+    Null texts are judged as empty ones; without labels, or for an empty table, all have one score, the share of toxic labels.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, "_score").filter(f"_score < {toxicity.THRESHOLD}").drop("_score")
+    (score,) = free_name(docs, "score")
+    return toxicity.score(docs, model, score).filter(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +25,11 @@ def lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; documents without words have no near duplicates and stay."""
-    return neardup.deduplicated(docs)
+    """One document of each group of near duplicates, by the sets of the query op5: two-word shingles, 0.8 or more.
+
+    Documents without words and rows without an id have no near duplicates and stay; rows of one id stay or go together.
+    """
+    return neardup.deduplicated(docs, words=2, percent=80)
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
