@@ -18,6 +18,8 @@ from .textkit import LOWER, U, combined, mixed, slices, windows, word_hashes
 SIDE, ROWS = 12, 3
 #: Documents whose table keys are combined before the shuffle; documents that meet in one comparison.
 NEAR, BLOCK = 4096, 256
+#: Bytes of sets that a task hands on at once: a document goes to each group that it is compared in.
+SENT = 8 << 20
 _MUL = mixed(np.arange(1, 2 * SIDE * ROWS + 1, dtype=np.uint64)) | U(1)
 _ADD = mixed(np.arange(1001, 2 * SIDE * ROWS + 1001, dtype=np.uint64))
 
@@ -96,11 +98,22 @@ def _tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _with_sets(words: int):
+    names = ["g", "block", "lead", "part", "doc_id", "set"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in slices(batches):
+        for rows in slices(batches, most=1 << 20):
             bounds, shingles = shingle_sets(rows["text"], words)
-            out = [(*g, int(doc), shingles[bounds[k] : bounds[k + 1]].tobytes()) for k, (doc, groups) in enumerate(zip(rows["doc_id"], rows["groups"])) for g in [(x["g"], x["block"], x["lead"], x["part"]) for x in groups]]
-            yield pd.DataFrame(out, columns=["g", "block", "lead", "part", "doc_id", "set"])
+            out, size = [], 0
+            for k, (doc, groups) in enumerate(zip(rows["doc_id"], rows["groups"])):
+                own = shingles[bounds[k] : bounds[k + 1]].tobytes()
+                for x in groups:
+                    out.append((x["g"], x["block"], x["lead"], x["part"], int(doc), own))
+                    size += len(own) + 64
+                    if size > SENT:
+                        yield pd.DataFrame(out, columns=names)
+                        out, size = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=names)
 
     return run
 

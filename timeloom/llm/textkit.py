@@ -7,9 +7,11 @@ chunk is cut at white space.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 CHUNK = 1 << 19
 BASE = 0x9E3779B97F4A7C15
@@ -106,6 +108,14 @@ def word_hashes(texts: Sequence[str | None], codes: np.ndarray = EXACT) -> tuple
     return np.cumsum(counts), np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
+def released() -> None:
+    """Gives memory that is no longer used back to the system, as workers outlive their tasks (where the C library can)."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterable, column: str = "text", most: int = 1 << 21) -> Iterator:
     """The batches' rows again in slices of about ``most`` characters of text, in order."""
     for batch in batches:
@@ -115,6 +125,7 @@ def slices(batches: Iterable, column: str = "text", most: int = 1 << 21) -> Iter
             end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
             yield batch.iloc[at:end]
             at = end
+    released()
 
 
 def combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:

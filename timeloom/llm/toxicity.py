@@ -132,7 +132,8 @@ class Model:
 
     def scores(self, texts) -> np.ndarray:
         counts, words = _hits(texts, self.voters)
-        return _sigmoid(self.inputs(counts > 0, counts.sum(1), words) @ self.weights + self.bias)
+        part = lambda s: self.inputs(counts[s] > 0, counts[s].sum(1), words[s]) @ self.weights + self.bias
+        return _sigmoid(np.concatenate([part(s) for s in _blocks(len(words))])) if len(words) else np.zeros(0)
 
 
 def _regression(x, n: int, y: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
@@ -181,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, voters: in
     chosen = np.sort(np.array([r["feature"] for r in best.collect()], np.int64).view(np.uint64))
 
     def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in slices(batches):
+        for rows in slices(batches, most=1 << 20):
             found, words = _hits(rows["text"], chosen)
             yield pd.DataFrame({"label": rows["label"], "words": words, "total": found.sum(1), "fired": [x.tobytes() for x in np.packbits(found > 0, axis=1)]})
 
@@ -207,7 +208,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
     def run(texts: pd.Series) -> pd.Series:
         rows = pd.DataFrame({"text": texts})
-        parts = [model.scores(x["text"]) for x in slices([rows])]
+        parts = [model.scores(x["text"]) for x in slices([rows], most=1 << 20)]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.withColumn(name, F.pandas_udf(run, "double")(F.col("text")))
