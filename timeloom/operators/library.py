@@ -46,7 +46,7 @@ def tag_stats(tags: DataFrame, frames: DataFrame, keys: Sequence[str] = ()) -> D
     """tag, peak, share: greatest score and share of all frames that have the tag."""
     found = tags.groupBy(*keys, "tag").agg(F.max("score").alias("peak"), F.count("*").alias("_n"))
     total = frames.groupBy(*keys).agg(F.greatest(F.count("*"), F.lit(1)).alias("_total"))
-    joined = found.join(total, list(keys)) if keys else found.withColumn("_total", F.lit(total.first()[0]))  # one number
+    joined = found.join(total, list(keys)) if keys else found.withColumn("_total", total.scalar())
     return joined.select(*keys, "tag", "peak", (F.col("_n") / F.col("_total")).alias("share"))
 
 

@@ -29,8 +29,8 @@ def matches(weights: DataFrame, members: DataFrame) -> DataFrame:
     """
     n = members.groupBy("speaker").agg(F.count("*").alias("_lines"))
     names = weights.join(members, "line_id").groupBy("speaker", "name").agg(F.sum("weight").alias("_sum"))
-    total = members.agg(F.count("*")).first()[0]
-    base = names.groupBy("name").agg((F.sum("_sum") / max(total, 1)).alias("_base"))
+    total = members.agg(F.greatest(F.count("*"), F.lit(1)).alias("n")).scalar()
+    base = names.groupBy("name").agg(F.sum("_sum").alias("_sum_all")).select("name", (F.col("_sum_all") / total).alias("_base"))
     x = names.filter("speaker is not null and _sum > 0").join(n, "speaker").join(base, "name")
     share = F.col("_sum") / F.col("_lines")
     return x.select("speaker", "name", share.alias("share"), F.when(F.col("_base") > 0, share / F.col("_base")).otherwise(0.0).alias("lift"), F.col("_lines").alias("lines"))

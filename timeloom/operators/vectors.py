@@ -35,20 +35,24 @@ def hamming(a: Column, b: Column) -> Column:
 def near_hashes(df: DataFrame, key: str, value: str, owner: str, most: int = 8) -> DataFrame:
     """Pairs (a, b, distance) of rows of different owners whose 64-bit values differ in at most ``most`` bits; a < b by key.
 
-    Values that differ in at most ``most`` bits agree in one of ``most`` + 1 bands of bits. Equal values of one owner are one
-    row in the search, so frequent values do not multiply; a pair counts in the first band that it agrees in.
+    In one of most // 2 + 1 bands of bits such values differ in at most one bit, so each value is looked up by its bands, and by
+    them with one bit turned. Only distinct values are searched, so frequent ones do not multiply; a pair counts in the first
+    band that it is near in.
     """
-    bands, edges = most + 1, [64 * i // (most + 1) for i in range(most + 2)]
+    bands = most // 2 + 1
+    edges = [64 * i // bands for i in range(bands + 1)]
     part = lambda v, i: F.shiftrightunsigned(v, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
-    distinct = df.select(F.col(value).alias("v"), F.col(owner).alias("o")).distinct()
-    keyed = distinct.select("v", "o", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), part(F.col("v"), i).alias("p")) for i in range(bands)])).alias("k")).select("v", "o", "k.i", "k.p")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    earlier = [F.when(F.col("a.i") > i, part(F.col("a.v"), i) != part(F.col("b.v"), i)).otherwise(F.lit(True)) for i in range(bands - 1)]
-    near = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.p") == F.col("b.p")) & (F.col("a.o") != F.col("b.o")) & (hamming(F.col("a.v"), F.col("b.v")) <= most))
-    near = near.filter(reduce(Column.__and__, earlier)).select(F.col("a.v").alias("va"), F.col("a.o").alias("oa"), F.col("b.v").alias("vb"), F.col("b.o").alias("ob"))
+    distinct = df.select(F.col(value).alias("v")).distinct()
+    place = lambda i, p: F.struct(F.lit(i).alias("i"), p.alias("p"))
+    exact = [place(i, part(F.col("v"), i)) for i in range(bands)]
+    turned = [place(i, part(F.col("v"), i).bitwiseXOR(F.lit(1 << j))) for i in range(bands) for j in range(edges[i + 1] - edges[i])]
+    keyed = lambda keys, name: distinct.select(F.col("v").alias(name), F.explode(F.array(*keys)).alias("k")).select(name, "k.i", "k.p")
+    far = lambda i: F.bit_count(part(F.col("va"), i).bitwiseXOR(part(F.col("vb"), i))) > 1
+    earlier = [~(F.col("i") > i) | far(i) for i in range(bands - 1)]
+    near = keyed(exact, "va").join(keyed([*exact, *turned], "vb"), ["i", "p"]).filter(hamming(F.col("va"), F.col("vb")) <= most).filter(reduce(Column.__and__, earlier, F.lit(True)))
     left = df.select(F.col(key).alias("a"), F.col(value).alias("va"), F.col(owner).alias("oa"))
     right = df.select(F.col(key).alias("b"), F.col(value).alias("vb"), F.col(owner).alias("ob"))
-    out = near.join(left, ["va", "oa"]).join(right, ["vb", "ob"]).filter("a < b")
+    out = near.select("va", "vb").join(left, "va").join(right, "vb").filter("a < b and oa <> ob")
     return out.select("a", "b", hamming(F.col("va"), F.col("vb")).cast("int").alias("distance"))
 
 
@@ -210,7 +214,9 @@ def doubtful(faces: DataFrame, target: int, limit: int = 12) -> DataFrame:
     mine = unit.filter(F.col("cluster") == target)
     shots = summed(mine, "shot").join(mine.groupBy("shot").agg(F.count("*").alias("n")), "shot")
     totals = summed(unit, "cluster").join(unit.groupBy("cluster").agg(F.count("*").alias("m")), "cluster")
-    pairs = shots.join(F.broadcast(totals.withColumnRenamed("sum", "total")))  # named clusters are few, one row each
+    # each shot meets each named cluster, by a list of the clusters' sums (a row each) that goes along
+    each = F.explode(totals.agg(F.collect_list(F.struct("cluster", F.col("sum").alias("total"), "m"))).scalar())
+    pairs = shots.withColumn("_each", each).select("shot", "sum", "n", "_each.*")
     rest = F.when(F.col("cluster") == target, F.zip_with("total", "sum", lambda a, b: a - b)).otherwise(F.col("total"))
     size = F.when(F.col("cluster") == target, F.col("m") - F.col("n")).otherwise(F.col("m"))
     x = pairs.withColumns({"_rest": rest, "_size": size}).filter("_size > 0").withColumn("d", (1 - dot(F.col("sum"), F.col("_rest")) / (F.col("n") * F.col("_size"))) / 2)

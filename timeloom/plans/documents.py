@@ -42,7 +42,7 @@ def rows_of(plans: DataFrame, key: str, what: str) -> DataFrame:
 
 def written(df: DataFrame, plan: str = "plan") -> DataFrame:
     """value: the documents again, times with four decimals, speeds and gains with three, without empty fields."""
-    short = lambda s, digits: [(F.round(s[f], digits[f]) if f in digits else s[f]).alias(f) for f in digits["_"]]
+    short = lambda s, digits: [(F.bround(s[f], digits[f]) if f in digits else s[f]).alias(f) for f in digits["_"]]
     slot = {"_": ("start", "end", "shot", "why", "in", "out", "speed", "section", "episode", "sync", "accent", "fx"), "start": 4, "end": 4, "in": 4, "out": 4, "speed": 3, "accent": 4}
     voice = {"_": ("at", "line", "episode", "in", "out", "gain", "duck", "text", "sub", "force", "why"), "at": 4, "in": 4, "out": 4, "gain": 3, "duck": 3}
     p = F.col(plan)

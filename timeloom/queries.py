@@ -308,7 +308,8 @@ def _hashes(spark, d):
     return e.select(F.col("vec_id").alias("frame"), F.floor(F.col("vec_id") / 10).alias("shot"), (F.col("vec_id") % 5).cast("long").alias("episode"), bits.alias("hash"), F.lit(1.0).alias("spread"))
 
 
-HASHES = """hashes as (select vec_id as frame, vec_id // 10 as shot, vec_id % 5 as episode, cast(list_sum(list_transform(range(20), lambda k: case when embedding[k + 1] > 0 then 7::bigint << (57 - 3 * k) else 0 end)) as bigint) as hash from embeddings)"""
+HASHES = """bits as (select vec_id, list_sum(list_transform(range(64), lambda k: case when embedding[k + 1] > 0 then 1::hugeint << (63 - k) else 0::hugeint end)) as u from embeddings),
+hashes as (select vec_id as frame, vec_id // 10 as shot, vec_id % 5 as episode, cast(case when u >= 1::hugeint << 63 then u - (1::hugeint << 64) else u end as bigint) as hash from bits)"""
 
 
 @query(f"with {HASHES} select a.frame as a, b.frame as b, cast(bit_count(xor(a.hash, b.hash)) as integer) as distance from hashes a join hashes b on a.frame < b.frame and a.episode <> b.episode where bit_count(xor(a.hash, b.hash)) <= 8")
@@ -328,7 +329,7 @@ def q_cosine_pairs(spark, d):
     return vec.close_pairs(e, 0.6).select("a", "b")
 
 
-@query("""with q as (select * from embeddings where vec_id % 4 = 0), p as (select * from embeddings where vec_id % 4 <> 0), r as (select q.vec_id as id, p.label as owner, 1 - list_cosine_similarity(q.embedding::double[], p.embedding::double[]) as dist, row_number() over (partition by q.vec_id order by 1 - list_cosine_similarity(q.embedding::double[], p.embedding::double[]), p.vec_id) as k from q, p)
+@query("""with q as (select * from embeddings), p as (select * from embeddings), r as (select q.vec_id as id, p.label as owner, 1 - list_cosine_similarity(q.embedding::double[], p.embedding::double[]) as dist, row_number() over (partition by q.vec_id order by 1 - list_cosine_similarity(q.embedding::double[], p.embedding::double[]), p.vec_id) as k from q, p where q.vec_id <> p.vec_id)
 select id, min(owner)::bigint as owner from r where k <= 3 group by id having count(distinct owner) = 1 and avg(dist) <= 0.9""")
 def q_knn_vote(spark, d):
     e = _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").cast("long").alias("owner"))
@@ -511,9 +512,11 @@ def q_sync_best(spark, d):
     return best.groupBy("episode", "idx").agg(F.round(F.max("score"), 6).alias("score"))
 
 
-TIMING = f"""slots as (select episode as plan, idx as slot, start / 1e6 as start, "end" / 1e6 as "end", case when idx % 5 = 0 then start / 1e6 + 0.5::double end as accent, lag("end" / 1e6) over (partition by episode order by idx) as prev from shots where idx <= 40),
+TIMING = f"""slots as (select episode as plan, idx as slot, start / 1e6 as start, "end" / 1e6 as "end", case when idx % 5 = 0 then start / 1e6 + 0.5::double end as accent, lag("end" / 1e6) over (partition by episode order by idx) as prev from shots),
 grid as (select episode, t / 1e6 as beat from frames where tag <> 'error' union select episode, 0.0::double from frames union select distinct episode, 1.706e9::double from frames),
-near as (select s.*, (select min(abs(beat - s.start)) from grid g where g.episode = s.plan) as ds, (select min(abs(beat - s."end")) from grid g where g.episode = s.plan) as de, (select min(abs(beat - s.accent)) from grid g where g.episode = s.plan) as da from slots s)"""
+pts as (select plan, slot, 's' as kind, start as p from slots union all select plan, slot, 'e', "end" from slots union all select plan, slot, 'a', accent from slots where accent is not null),
+dist as (select p.plan, p.slot, p.kind, least(p.p - b.beat, coalesce(a.beat - p.p, p.p - b.beat)) as d from pts p asof join grid b on b.episode = p.plan and b.beat <= p.p asof left join grid a on a.episode = p.plan and a.beat >= p.p),
+near as (select s.*, (select d from dist where dist.plan = s.plan and dist.slot = s.slot and kind = 's') as ds, (select d from dist where dist.plan = s.plan and dist.slot = s.slot and kind = 'e') as de, (select d from dist where dist.plan = s.plan and dist.slot = s.slot and kind = 'a') as da from slots s)"""
 
 
 @query(f"""with {SHOTS}, {TIMING} select plan, slot, 'error' as level, case when start > prev then 'slot.gap' else 'slot.overlap' end as code from near where abs(start - prev) > 1e-3
@@ -561,7 +564,7 @@ def q_lyric_end(spark, d):
     return f.select("frame_id", F.col("t").alias("start"), F.least(F.coalesce(following, F.col("t") + 5 * HOUR), F.col("t") + 10 * HOUR).alias("end"))
 
 
-@query("select conv_id, turn, count(*) over (partition by lower(regexp_replace(left(text, 3), '[^A-Za-z]', '', 'g'))) > 1 as refrain from conversations")
+@query("select conv_id, turn, count(*) over (partition by regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g')) > 1 as refrain from conversations")
 def q_refrain_count(spark, d):
     c = _table(spark, d, "conversations")
     norm = song.sung_text("text")
