@@ -84,7 +84,7 @@ def lyric_source(spec: Column) -> Column:
     behind = lambda text, mark: F.regexp_extract(text, rf"^(.*){mark}([^/{mark}]*)$", 2)
     ahead = lambda text, mark: F.when(text.rlike(rf"{mark}[^/]*$"), F.regexp_replace(text, rf"{mark}[^/{mark}]*$", "")).otherwise(text)
     rest = ahead(spec, "@")
-    styles = F.filter(F.transform(F.split(behind(rest, "#"), ","), F.trim), lambda s: s != "")
+    styles = F.filter(F.transform(F.split(behind(rest, "#"), ","), lambda s: F.trim(s)), lambda s: s != "")
     return F.struct(ahead(rest, "#").alias("path"), styles.alias("styles"), F.trim(behind(spec, "@")).alias("lang"))
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .operators import library as lib
 from .operators import lookups as lk
 from .operators import overrides, scenes, voices, writes
+from .functions import media
+from .plans import drafts, effects
 from .queries import _table, query
 
 T0 = 1704067200000000
@@ -96,8 +98,8 @@ def _answers(*parts: tuple[str, DataFrame, str | Column, str | Column]) -> DataF
     return reduce(DataFrame.unionByName, [one(*p) for p in parts])
 
 
-def _sql(*parts: tuple[str, str]) -> str:
-    return f"with {LIB} " + " union all ".join(f"select '{op}' as op, {rest}" for op, rest in parts)
+def _sql(*parts: tuple[str, str], more: str = "") -> str:
+    return f"with {LIB}{more} " + " union all ".join(f"select '{op}' as op, {rest}" for op, rest in parts)
 
 
 _NAMES = lambda c: F.array_join(c, ",")
@@ -405,3 +407,247 @@ def q_voice_review(spark, d):
         ("evidence", ev, "speaker", F.concat_ws(" ", F.col("lines").cast("string"), _NAMES(F.transform("votes", lambda x: F.concat_ws("x", x["n"].cast("string"), x["name"]))))),
         ("mixed", voices.mixed(two), "line_id", "status"), ("kept_gain", gain, "i", F.round(F.col("gain") * 1000).cast("long")),
     )
+
+
+# ---- plans: effects and drafts. A plan is an episode, its slots are its first kept shots one behind the other, beats are events.
+
+PLAN = """, sl as (select episode_id as plan, episode_id as song, row_number() over (partition by episode_id order by idx) - 1 as slot, id as shot, start as s0, "end" as e0, least("end" - start, 4.0::double) as len from shots where status = 'kept'),
+slots as (select plan, song, slot, shot, round_even(coalesce(sum(len) over w, 0) * 48, 0) / 48.0::double as start, round_even((coalesce(sum(len) over w, 0) + len) * 48, 0) / 48.0::double as "end", case slot % 4 when 0 then 'chorus' when 1 then 'chorus' when 2 then 'verse' else 'intro' end as section,
+ case when slot % 5 = 0 then null else s0 end as "in", case when slot % 5 = 0 then null else s0 + len end as "out", slot % 7 = 3 as has_drift, slot % 9 = 4 as has_flash from sl window w as (partition by plan order by slot rows between unbounded preceding and 1 preceding)),
+beats as (select plan as song, b / 6.0::double as beat, ((b * 37 + plan) % 100) / 100 as strength from (select distinct plan from sl), range(0, 600) t(b)),
+bars as (select song, beat as bar from beats where round(beat * 6)::bigint % 4 = 0),
+mo as (select id as shot, id % 3 <> 0 as still, [{'time': start + 1, 'strength': case when id % 4 = 0 then 0.05::double else 0.01::double end}] as onsets from shots),
+acc as (select s.plan, s.slot, arg_max(beat, (strength, -beat)) as "at", max(strength) as strength from slots s join beats b on b.song = s.song and beat >= s.start + 0.5::double - 1e-6 and beat <= s."end" - 0.5::double + 1e-6 and strength >= 0.8::double group by all)"""
+
+
+def _plan(spark, d) -> SimpleNamespace:
+    t = tables(spark, d)
+    w = Window.partitionBy("plan").orderBy("slot")
+    sl = t.shots.filter("status = 'kept'").select(F.col("episode_id").alias("plan"), F.col("episode_id").alias("song"), (F.row_number().over(Window.partitionBy("episode_id").orderBy("idx")) - 1).cast("long").alias("slot"), F.col("id").alias("shot"), F.col("start").alias("s0"), F.col("end").alias("e0"), F.least(F.col("end") - F.col("start"), F.lit(4.0)).alias("len"))
+    before = F.coalesce(F.sum("len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    x = sl.withColumns({"start": F.bround(before * 48) / 48.0, "end": F.bround((before + F.col("len")) * 48) / 48.0})
+    given = F.col("slot") % 5 != 0
+    x = x.withColumns({"section": F.when(F.col("slot") % 4 < 2, "chorus").when(F.col("slot") % 4 == 2, "verse").otherwise("intro"), "in": F.when(given, F.col("s0")), "out": F.when(given, F.col("s0") + F.col("len"))})
+    kinds = F.array_compact(F.array(F.when(F.col("slot") % 7 == 3, F.lit("drift")), F.when(F.col("slot") % 9 == 4, F.lit("flash"))))
+    p = SimpleNamespace(t=t, slots=x.withColumn("fx", kinds))
+    p.beats = sl.select(F.col("plan").alias("song")).distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(599)))).select("song", (F.col("b") / 6.0).alias("beat"), ((F.col("b") * 37 + F.col("song")) % 100 / 100).alias("strength"), "b")
+    p.bars = p.beats.filter("b % 4 = 0").select("song", F.col("beat").alias("bar"))
+    p.beats = p.beats.drop("b")
+    p.motion = t.shots.select(F.col("id").alias("shot"), (F.col("id") % 3 != 0).alias("still"), F.array(F.struct((F.col("start") + 1).alias("time"), F.when(F.col("id") % 4 == 0, 0.05).otherwise(0.01).alias("strength"))).alias("onsets"))
+    return p
+
+
+@query(f"""with recursive {LIB}{PLAN}, c as (select s.*, acc."at", acc.strength as hits, lag(section) over (partition by s.plan order by s.slot) as before_, exists (select 1 from bars b where b.song = s.song and abs(b.bar - s.start) <= 1 / 48.0::double) as on_bar,
+ coalesce((select arg_min(case when abs(beat - s.start) <= 1 / 48.0::double then strength else 0 end, abs(beat - s.start)) from beats b where b.song = s.song and abs(beat - s.start) < 0.2::double), 0) as hard,
+ coalesce(mo.still and s."in" is not null and not (mo.onsets[1].time >= s."in" and mo.onsets[1].time <= s."out" and mo.onsets[1].strength >= 0.03::double), false) as calm from slots s left join acc on acc.plan = s.plan and acc.slot = s.slot left join mo on mo.shot = s.shot),
+dr as (select plan, slot, has_drift or (calm and "end" - start >= 1.5::double) as drift, calm and "end" - start >= 1.5::double and not has_drift as added from c where slot = 0 union all
+ select c.plan, c.slot, c.has_drift or (c.calm and c."end" - c.start >= 1.5::double and not d.drift), c.calm and c."end" - c.start >= 1.5::double and not d.drift and not c.has_drift from dr d join c on c.plan = d.plan and c.slot = d.slot + 1)
+select plan, slot, 'flash' as kind, null::double as "at", case when before_ is distinct from 'chorus' then 'flash on the chorus entry' else 'flash on the chorus downbeat' end as note from c where not has_flash and section = 'chorus' and (before_ is distinct from 'chorus' or (on_bar and hard >= 0.7::double))
+union all select plan, slot, 'punch', round("at", 6), printf('punch on the accent at %.2fs (%.2f)', "at", hits) from c where "at" is not null union all select plan, slot, 'drift', null, 'drift, nothing moves in the shot' from dr where added""")
+def q_effects_suggested(spark, d):
+    p = _plan(spark, d)
+    return effects.suggested(p.slots, p.beats, p.bars, p.motion).select("plan", "slot", "kind", F.round("at", 6).alias("at"), "note")
+
+
+FXROWS = """, fx as (select plan, slot, 0 as place, case slot % 4 when 0 then 'flash' when 1 then 'punch' when 2 then 'drift' else 'spin' end as kind, case when slot % 8 = 1 then start + 0.5::double when slot % 16 = 0 then 1.0::double end as "at", case when slot % 6 = 1 then 1.5::double when slot % 6 = 2 then 1.2::double end as zoom, case when slot % 12 = 0 then 9 end as frames,
+ case when slot % 20 = 0 then 2.0::double end as strength, case when slot % 10 = 1 then 1.5::double end as x, case when slot % 10 = 1 then 0.5::double end as y from slots union all select plan, slot, 1, 'flash', null, null, null, null, null, null from slots where slot % 3 = 0),
+ac as (select *, case when slot % 11 = 5 then start + 0.25::double end as accent from slots),
+best as (select s.plan, s.slot, arg_max(beat, (strength, -beat)) as "at" from slots s join beats b on b.song = s.song and beat >= s.start + 0.1::double - 1e-6 and beat <= s."end" - 0.1::double + 1e-6 and strength >= 0.7::double group by all)"""
+
+
+def _fx(p) -> tuple[DataFrame, DataFrame]:
+    s, none = F.col("slot"), F.lit(None)
+    kind = F.when(s % 4 == 0, "flash").when(s % 4 == 1, "punch").when(s % 4 == 2, "drift").otherwise("spin")
+    one = p.slots.select("plan", "slot", F.lit(0).alias("place"), kind.alias("kind"), F.when(s % 8 == 1, F.col("start") + 0.5).when(s % 16 == 0, 1.0).alias("at"), F.when(s % 6 == 1, 1.5).when(s % 6 == 2, 1.2).alias("zoom"), F.when(s % 12 == 0, F.lit(9)).alias("frames"), F.when(s % 20 == 0, 2.0).alias("strength"), F.when(s % 10 == 1, 1.5).alias("x"), F.when(s % 10 == 1, 0.5).alias("y"))
+    two = p.slots.filter("slot % 3 = 0").select("plan", "slot", F.lit(1).alias("place"), F.lit("flash").alias("kind"), *[none.cast(k).alias(c) for c, k in (("at", "double"), ("zoom", "double"), ("frames", "int"), ("strength", "double"), ("x", "double"), ("y", "double"))])
+    return one.unionByName(two), p.slots.withColumn("accent", F.when(F.col("slot") % 11 == 5, F.col("start") + 0.25)).withColumn("fps", F.lit(24.0))
+
+
+@query(f"""with {LIB}{PLAN}{FXROWS}, q as (select fx.*, s.start, s."end", s.accent, s.song, best."at" as best, row_number() over (partition by fx.plan, fx.slot, kind order by place) as use, (select arg_min(beat, (abs(beat - fx."at"), beat)) from beats b where b.song = s.song) as near from fx join ac s using (plan, slot) left join best on best.plan = fx.plan and best.slot = fx.slot),
+r as (select q.*, b.strength as hits, kind in ('flash', 'punch', 'drift') as known, kind = 'punch' as p, coalesce("at" >= start + 2 / 24.0::double and "at" < "end" - 1 / 24.0::double, false) and kind = 'punch' as inside, coalesce(abs(near - "at") <= 1 / 48.0::double, false) as on_beat, coalesce(abs(accent - "at") <= 1 / 48.0::double, false) as marked from q left join beats b on b.song = q.song and b.beat = q.near)
+select plan, slot, 'error' as level, 'fx.unknown' as code from r where not known union all select plan, slot, 'error', 'fx.repeat' from r where known and use > 1
+union all select plan, slot, 'warning', 'fx.ignored' from r where kind in ('flash', 'drift') and "at" is not null union all select plan, slot, 'warning', 'fx.ignored' from r where kind = 'flash' and zoom is not null union all select plan, slot, 'warning', 'fx.ignored' from r where kind = 'flash' and x is not null
+union all select plan, slot, 'warning', 'fx.ignored' from r where kind in ('punch', 'drift') and frames is not null union all select plan, slot, 'warning', 'fx.ignored' from r where kind in ('punch', 'drift') and strength is not null
+union all select plan, slot, 'error', 'fx.zoom' from r where kind in ('punch', 'drift') and not (zoom > 1.0 and zoom <= 1.3::double) union all select plan, slot, 'error', 'fx.frames' from r where kind = 'flash' and frames not between 1 and 4 union all select plan, slot, 'error', 'fx.strength' from r where kind = 'flash' and not (strength > 0 and strength <= 1)
+union all select plan, slot, 'error', 'fx.focus' from r where kind in ('punch', 'drift') and not (x between 0 and 1 and y between 0 and 1) union all select plan, slot, 'warning', 'fx.short' from r where kind = 'drift' and "end" - start < 1
+union all select plan, slot, 'error', 'fx.accent' from r where p and "at" is null and accent is null and best is null union all select plan, slot, 'warning', 'fx.at' from r where p and "at" is null and not (accent is null and best is null) union all select plan, slot, 'error', 'fx.at' from r where p and "at" is not null and not inside
+union all select plan, slot, 'error', 'fx.accent' from r where inside and not on_beat union all select plan, slot, 'error', 'fx.accent' from r where inside and on_beat and hits < 0.7::double and not marked""")
+def q_effect_issues(spark, d):
+    p = _plan(spark, d)
+    fx, slots = _fx(p)
+    return effects.effect_issues(fx, slots, p.beats)
+
+
+@query(f"""with {LIB}{PLAN}{FXROWS}, a as (select fx.*, s.start, s."end", s."in", s."out", s.shot, case when kind = 'punch' then coalesce(fx."at", accent, best."at") else fx."at" end as at2 from fx join ac s using (plan, slot) left join best on best.plan = fx.plan and best.slot = fx.slot),
+sp as (select *, case when kind = 'punch' then "in" + (at2 - start) * ("out" - "in") / nullif("end" - start, 0) else "in" end as f, case when kind = 'punch' then "in" + (at2 - start) * ("out" - "in") / nullif("end" - start, 0) else "out" end as t from a where kind <> 'flash'),
+fa as (select frames.shot_id as shot, frame_index / 24.0::double as time, (x0 + x1) / 2 as x, (y0 + y1) / 2 as y from faces join frames on frames.id = frame_id where cluster_id = 2),
+fo as (select sp.plan, sp.slot, sp.kind, min((abs(fa.time - (f + t) / 2), fa.time, fa.x, fa.y)) filter (f is not null) as b from sp join fa on fa.shot = sp.shot group by all),
+r as (select a.plan, a.slot, a.place, a.kind, at2 as "at", coalesce(zoom, case kind when 'punch' then 1.12::double when 'drift' then 1.08::double end) as zoom, case when kind = 'flash' then coalesce(frames, 3) else frames end as frames, case when kind = 'flash' then coalesce(strength, 0.85::double) else strength end as strength,
+ coalesce(x, case when kind = 'drift' or (kind = 'punch' and at2 is not null) then coalesce(round_even(b[3], 3), 0.5::double) end) as x from a left join fo using (plan, slot, kind))
+select plan, slot, kind, round("at", 6) as "at", zoom, count(*) as n, max(frames)::bigint as frames, max(strength) as strength, round(max(x), 2) as x from r group by all""")
+def q_effects_resolved(spark, d):
+    p = _plan(spark, d)
+    fx, slots = _fx(p)
+    f = p.t.faces.filter("cluster_id = 2").join(p.t.frames.select(F.col("id").alias("frame_id"), "frame_index"), "frame_id")
+    seen = f.select(F.col("shot_id").alias("shot"), (F.col("frame_index") / 24.0).alias("time"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    out = effects.resolved(fx, slots, p.beats, seen)
+    return out.groupBy("plan", "slot", "kind", F.round("at", 6).alias("at"), "zoom").agg(F.count("*").alias("n"), F.max("frames").cast("long").alias("frames"), F.max("strength").alias("strength"), F.round(F.max("x"), 2).alias("x"))
+
+
+@query(f"""with {LIB}{PLAN}{FXROWS}, g as (select plan, slot, round_even((any_value(s.start) - 0) * 24, 0)::bigint as first, max(coalesce(frames, 3)) filter (kind = 'flash') as flash, max(coalesce(zoom, 1.08::double)) filter (kind = 'drift') as drift, max(round_even(fx."at" * 24, 0)::bigint) filter (kind = 'punch' and fx."at" is not null) as punch,
+ string_agg(case when kind = 'punch' and "at" is not null then printf('punch %.2fx at %.2fs', coalesce(zoom, 1.12::double), "at") when kind = 'drift' then printf('drift to %.2fx', coalesce(zoom, 1.08::double)) else kind end, ', ' order by place) as words from fx join slots s using (plan, slot) group by plan, slot)
+select plan, slot, flash::bigint as flash, drift, punch - first as punch, words, round(case when drift is null then 1 else pow(drift, 5 / 23.0::double) end, 6) as zoom, round(case when flash is null then 0 else greatest(0, 0.5::double * (1 - 1 / flash)) end, 6) as white from g where flash is not null or drift is not null or punch is not null""")
+def q_clip_effects(spark, d):
+    p = _plan(spark, d)
+    fx, slots = _fx(p)
+    c = effects.clip_effects(fx, slots.withColumn("plan_start", F.lit(0.0)))
+    words = effects.described(fx, ["plan", "slot"])
+    none = F.lit(None).cast("double")
+    zoom = effects.zoom_at(F.lit(5), F.lit(24), F.col("drift.zoom"), none, none, F.lit(24.0))
+    white = effects.flash_at(F.lit(1), F.col("flash.frames"), F.when(F.col("flash").isNotNull(), 0.5))
+    return c.join(words, ["plan", "slot"]).select("plan", "slot", F.col("flash.frames").cast("long").alias("flash"), F.col("drift.zoom").alias("drift"), F.col("punch.frame").alias("punch"), "words", F.round(zoom, 6).alias("zoom"), F.round(white, 6).alias("white"))
+
+
+@query(f"""with {LIB}{PLAN}, k as (select s.*, k.start as c0, k."end" as c1 from slots s join shots k on k.id = s.shot), gr as (select song, beat from beats union select song, 0.0::double from slots union select song, 5000.0::double from slots),
+b as (select *, (select arg_min(beat, (abs(beat - k.start), beat)) from gr where gr.song = k.song) as ns, (select arg_min(beat, (abs(beat - k."end"), beat)) from gr where gr.song = k.song) as ne from k),
+u as (select *, c0 + 2 / 24.0::double as f, c1 - 2 / 24.0::double as l, ne - ns as sec, (c0 + c1) / 2 as peak from b), v as (select *, case when l - f >= sec then 1.0::double else greatest(0.9::double, (l - f) / nullif(sec, 0)) end as sp from u),
+w as (select *, least(greatest(peak - sec * sp / 2, f), greatest(f, l - sec * sp)) as bg from v), x as (select *, case when "in" is not null then floor("in" * 24 + 0.01::double) / 24 when floor(bg * 24 + 0.01::double) / 24 < f - 1e-6 then ceil(bg * 24 - 0.01::double) / 24 else floor(bg * 24 + 0.01::double) / 24 end as "at", case when "in" is not null then "out" - "in" else sec * sp end as len from w)
+select plan, slot, round(ns, 6) as start, round(ne, 6) as "end", case when sec > 0 then round_even("at", 3) else "in" end as "in", case when sec > 0 then round_even("at" + len, 3) else "out" end as "out", sec > 0 and "in" is null as filled, abs(ns - start) > 1e-3 or abs(ne - "end") > 1e-3 as moved, case when slot % 3 = 0 then 'part ' || floor(ns / 10)::bigint else section end as section from x where sec > 0""")
+def q_refined(spark, d):
+    p = _plan(spark, d)
+    shots = p.t.shots.select(F.col("id").alias("shot"), F.lit("p").alias("path"), "start", "end", F.lit(24.0).alias("fps"), ((F.col("start") + F.col("end")) / 2).alias("peak"))
+    songs = p.slots.select("song").distinct().withColumn("duration", F.lit(5000.0))
+    grid = drafts.beat_grid(p.beats, songs)
+    s = p.slots.withColumns({"speed": F.lit(None).cast("double"), "episode": F.lit(None).cast("string"), "section": F.when(F.col("slot") % 3 != 0, F.col("section"))})
+    parts = songs.select("song", F.explode(F.sequence(F.lit(0), F.lit(500))).alias("k")).select("song", F.concat(F.lit("part "), F.col("k").cast("string")).alias("label"), (F.col("k") * 10.0).alias("start"), (F.col("k") * 10.0 + 10).alias("end"))
+    out = drafts.refined(s, shots, grid, parts).filter("end > start")
+    return out.select("plan", "slot", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), F.bround("in", 3).alias("in"), F.bround("out", 3).alias("out"), "filled", "moved", "section")
+
+
+@query(_sql(
+    ("slot_frames", "plan * 1000 + slot as key, (round_even(\"end\" * 24, 0) - round_even(start * 24, 0))::bigint::varchar as value from slots"), ("duration", "plan, (round_even(max(\"end\") * 24, 0))::bigint::varchar from slots group by plan"),
+    ("peaks", "shot_id, frame_index::varchar from (select shot_id, frame_index, row_number() over (partition by shot_id order by f.id is not null desc, score desc, coalesce(h, 0) desc, frame_index) as r from (select frames.id as fid, shot_id, frame_index, score from frames join tags on frame_id = frames.id) a left join (select id, y1 - y0 as h from faces where cluster_id = 2) f on f.id = a.fid) where r = 1"),
+    ("score", "shot_id * 10 + cluster_id, round((case when shot_id % 4 = 0 then 1.5::double * 0.7::double + height + 0.3::double * presence when shot_id % 4 = 1 then presence + 0.8::double * height + 0.3::double * presence else 0.5::double * presence + 0.5::double * presence + 0.2::double end) * 10000)::bigint::varchar from shot_cast"),
+    ("reason", "shot_id * 10 + cluster_id, case when shot_id % 4 = 0 then 'closing on her best smile: ' when shot_id % 4 = 1 then 'chorus wants the cutest: ' else 'verse: an everyday moment, ' end || case when height >= 0.35::double then 'close-up' when height >= 0.15::double then 'medium' else 'wide' end || ', smile 0.70, tears 0.20' from shot_cast"),
+    ("describe", "shot_id * 10 + cluster_id, case when height >= 0.35::double then 'close-up' when height >= 0.15::double then 'medium' else 'wide' end || ', ' || round_even(presence * 100, 0)::bigint || '% on screen; with a, b; smile 0.70' from shot_cast"),
+    ("fits", "id, (\"end\" - start - 4 / 24.0::double >= 2 * 0.9::double)::varchar from shots"), ("excerpt", "id, round(round(start))::bigint || '-' || round(round(\"end\"))::bigint from shots where round(\"end\") > round(start) and abs(start - floor(start) - 0.5::double) > 0.001::double and abs(\"end\" - floor(\"end\") - 0.5::double) > 0.001::double"),
+    ("refine_voices", "line_id, case when line_id % 2 = 0 then 'own' else text end || ' ' || coalesce(case when line_id % 3 = 0 then 1 else round_even(v.start * 1000, 0)::bigint end, 0) from voices v join lines l on l.id = line_id"),
+    ("motion", "id, case when start > 2 then '0.03,0.05,0.04' else '0.03,0.05,0.04' end from shots"),
+    more=PLAN,
+))
+def q_drafts(spark, d):
+    p = _plan(spark, d)
+    t = p.t
+    at = lambda c: F.col("plan") * 1000 + F.col("slot")
+    n = drafts.slot_frames(F.col("start"), F.col("end"), F.lit(0.0), F.lit(24.0))
+    her = t.faces.filter("cluster_id = 2").select(F.col("frame_id").alias("id"), (F.col("y1") - F.col("y0")).alias("h"))
+    frames = t.frames.join(t.tags, F.col("id") == F.col("frame_id")).join(her, "id", "left").select(F.col("shot_id").alias("shot"), F.col("frame_index").cast("double").alias("time"), F.col("score").alias("cuteness"), F.coalesce("h", F.lit(0.0)).alias("face"), F.create_map("tag", "score").alias("tags"))
+    c = t.cast.withColumn("tags", F.create_map(F.lit("smile"), F.lit(0.7), F.lit("tears"), F.lit(0.2)))
+    section, closing = F.when(F.col("shot_id") % 4 == 1, "chorus").otherwise("verse"), F.col("shot_id") % 4 == 0
+    key = F.col("shot_id") * 10 + F.col("cluster_id")
+    score = drafts.score(section, closing, F.col("presence"), F.col("height"), F.lit(0.0), F.col("presence"), F.col("tags"), F.lit(True))
+    told = drafts.described(F.col("height"), F.col("presence"), F.array(F.lit("a"), F.lit("b")), F.array(F.struct(F.lit("smile").alias("tag"), F.lit(0.7).alias("peak"))))
+    spans = t.shots.filter("abs(start - floor(start) - 0.5) > 0.001 and abs(end - floor(end) - 0.5) > 0.001 and round(end) > round(start)").select(F.col("id"), F.lit(1).alias("song"), "start", "end")
+    edges = spark.range(0, 4000).select(F.lit(1).alias("song"), F.col("id").cast("double").alias("edge"))
+    cut = drafts.excerpt_between(edges, spans)
+    v = t.voices.select(F.lit(1).alias("plan"), F.col("line_id").alias("voice"), F.col("line_id").alias("line"), F.lit(None).cast("string").alias("episode"), F.when(F.col("line_id") % 3 == 0, 0.001).alias("in"), F.when(F.col("line_id") % 3 == 0, 2.0).alias("out"), F.when(F.col("line_id") % 2 == 0, "own").alias("text"))
+    known = t.lines.select(F.col("id").alias("line"), F.lit("p").alias("path"), "text")
+    rv = drafts.refined_voices(v, known, t.lines.select("id", "start", "end"))
+    moves = F.array(*[F.struct(F.lit(a).alias("time"), F.lit(b).alias("strength")) for a, b in ((3.0, 0.04), (1.0, 0.03), (2.0, 0.05), (4.0, 0.01))])
+    m = t.shots.select("id", drafts.motion_summary(moves, F.lit(0.2), F.lit(False)).alias("m"))
+    return _answers(
+        ("slot_frames", p.slots, at(0), n), ("duration", drafts.duration(p.slots.withColumn("fps", F.lit(24.0))), "plan", "frames"), ("peaks", drafts.peaks(frames), "shot", F.col("time").cast("long")), ("score", c, key, F.round(score * 10000).cast("long")),
+        ("reason", c, key, drafts.reason(section, closing, F.col("height"), F.col("tags"))), ("describe", c, key, told), ("fits", t.shots, "id", drafts.fits(F.col("start"), F.col("end"), F.lit(24.0), F.lit(2.0))),
+        ("excerpt", cut, "id", F.concat_ws("-", F.col("start").cast("long").cast("string"), F.col("end").cast("long").cast("string"))), ("refine_voices", rv, "voice", F.concat_ws(" ", "text", F.round(F.col("in") * 1000).cast("long").cast("string"))),
+        ("motion", m, "id", _NAMES(F.transform("m.onsets", lambda o: o["strength"].cast("string")))),
+    )
+
+
+@query()
+def q_arranged(spark, d):
+    """Draft plans: no SQL, as each slot takes what earlier ones left; tests compare it with a plain version."""
+    p = _plan(spark, d)
+    few = p.slots.filter("slot < 6").select("plan", "slot", "section", (F.col("slot") == 5).alias("closing"))
+    shots = p.slots.filter("slot < 12").select(F.col("plan").alias("_p"), "shot", "len", (F.col("shot") * 31 % 97 / 97).alias("score"), (F.col("shot") % 1000).alias("order"), F.when(F.col("shot") % 3 == 0, "wide").otherwise("medium").alias("frame"))
+    pairs = few.join(shots, F.col("plan") == F.col("_p")).filter("(shot + slot) % 5 <> 0").drop("_p", "len")
+    return drafts.arranged(pairs)
+
+
+# ---- media: probes, streams, labels, boxes, sizes, paths, blocks. JSON and files are made from keys of the driver's tables.
+
+@query("""with f as (select page_id as id, case page_id % 4 when 0 then 'a/' when 1 then '.hid/' when 2 then 'b/.x/' else '' end || 'p' || page_id || case page_id % 3 when 0 then '.MKV' when 1 then '.mp4' else '.txt' end as path from pages),
+o as (select o_orderkey as k, o_orderkey % 5 as m, o_custkey as c from orders)
+select 'find_episodes' as op, id as key, path as value from f where id % 4 not in (1, 2) and id % 3 <> 2
+ union all select 'subtitle_file', id, regexp_replace(path, '\\.[^./]+$', '') || '.ass' from f union all select 'stored_path', id, case when id % 2 = 0 then path else '/other/' || path end from f union all select 'stored_paths', id, 'see ' || path || ' and ' || path from f union all select 'resolved_path', id, '/data/' || path from f
+ union all select 'probed', k, case when m = 3 then 'no video stream' when m = 4 then 'cannot tell the frame rate' else (1000 + c)::varchar || ' ' || case when m = 1 then '25/1' else '24000/1001' end || ' ' || case when m = 2 then 'h264' else 'hevc' end end from o
+ union all select 'decodable', k, (m <> 2)::varchar from o where m < 3 union all select 'audio_streams', k * 10 + i, case i when 0 then 'jpn false ' || (m = 0)::varchar when 1 then ' true false' else 'eng false true' end from o, range(3) r(i) where m < 3
+ union all select 'main_audio', k, case when m = 0 then '0' when m = 1 then '2' else '2' end from o where m < 3""")
+def q_media_files(spark, d):
+    pages = _table(spark, d, "pages").select(F.col("page_id").alias("id"))
+    i = F.col("id")
+    folder = F.when(i % 4 == 0, "a/").when(i % 4 == 1, ".hid/").when(i % 4 == 2, "b/.x/").otherwise("")
+    f = pages.withColumn("path", F.concat(folder, F.lit("p"), i.cast("string"), F.when(i % 3 == 0, ".MKV").when(i % 3 == 1, ".mp4").otherwise(".txt")))
+    full = F.concat(F.lit("/data/"), "path")
+    o = _table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 5).alias("m"), F.col("o_custkey").alias("c"))
+    m = F.col("m")
+    rate = F.when(m == 4, "0/0").when(m == 1, "0/0").otherwise("24000/1001")
+    stream = F.format_string('{"codec_name":"%s","pix_fmt":"%s","width":%d,"height":9,"avg_frame_rate":"%s","r_frame_rate":"%s"}', F.when(m == 2, "h264").otherwise("hevc"), F.lit("yuv420p10le"), F.col("c") + 1000, rate, F.when(m == 4, "0/0").otherwise("25/1"))
+    video = o.withColumn("probe", F.when(m == 3, '{"streams":[]}').otherwise(F.concat(F.lit('{"streams":['), stream, F.lit('],"format":{"duration":"12.5"}}'))))
+    audio = F.format_string('{"streams":[{"index":0,"codec_name":"aac","tags":{"language":"jpn"},"disposition":{"default":%d,"comment":0}},{"index":1,"codec_name":"aac","tags":{"title":"Director Commentary"}},{"index":2,"codec_name":"flac","tags":{"language":"eng"},"disposition":{"default":1}}]}', F.when(m == 0, 1).otherwise(0))
+    p = media.probed(video)
+    said = F.coalesce("problem", F.concat_ws(" ", F.col("width").cast("string"), F.concat_ws("/", F.col("fps_num").cast("string"), F.col("fps_den").cast("string")), "codec"))
+    some = o.filter("m < 3").withColumn("probe", audio)
+    tracks = media.audio_streams(some, ["k"])
+    return _answers(
+        ("find_episodes", media.find_episodes(f), "id", "path"), ("subtitle_file", f, "id", media.subtitle_file(F.col("path"))), ("stored_path", f, "id", media.stored_path(F.when(i % 2 == 0, full).otherwise(F.concat(F.lit("/other/"), "path")), "/data")),
+        ("stored_paths", f, "id", media.stored_paths(F.concat(F.lit("see "), full, F.lit(" and "), full), "/data/")), ("resolved_path", f, "id", media.resolved_path(F.col("path"), "/data")), ("probed", p, "k", said),
+        ("decodable", p.filter("m < 3"), "k", media.decodable(F.col("codec"), F.col("pix_fmt"))), ("audio_streams", tracks, F.col("k") * 10 + F.col("index"), F.concat_ws(" ", "language", F.col("commentary").cast("string"), F.col("default").cast("string"))), ("main_audio", media.main_audio(tracks, ["k"]), "k", "index"),
+    )
+
+
+@query(_sql(
+    ("head_box", "id as key, l || ' ' || t || ' ' || round_even(l0 + side, 0)::bigint || ' ' || round_even(t0 + side, 0)::bigint as value from (select *, round_even(l0, 0)::bigint as l, round_even(t0, 0)::bigint as t from (select *, least(greatest((x0 + x1) / 2 * 1920 - side / 2, 0), 1920 - side) as l0, least(greatest((y0 + y1) / 2 * 1080 - 0.1::double * side - side / 2, 0), 1080 - side) as t0 from (select *, least(greatest((x1 - x0) * 1920, (y1 - y0) * 1080) * 1.8::double, 1920, 1080) as side from faces)))"),
+    ("input_size", "id, (ceil((100 + id % 900) * (640 / greatest(100 + id % 900, 50 + id % 700)::double) / 32) * 32)::bigint::varchar from ev"), ("halvings", "id, case when id % 2 = 0 then '960x540,480x270,240x136,160x90' else '160x90' end from ev"),
+    ("tags_of", "id, case when score >= 0.35::double then 'blush' else '' end || ' ' || case when 1 - score >= 0.85::double then 'c2' else '' end || ' ' || 'safe' from (select id, value / 500 as score from ev)"), ("boxes_of", "id, round_even(greatest(50 - (id % 200), 0) / 400 * 1000, 0)::bigint || ' ' || round_even(least(50 + (id % 200), 400) / 400 * 1000, 0)::bigint from ev where id % 10 > 5"),
+    ("tall_enough", "id, null from faces where y1 - y0 >= 0.3::double"), ("in_indices", "id, (id in (3, 5, 800))::varchar from ev"), ("in_ranges", "id, ((id >= 10 and id < 20) or (id >= 30 and id < 41) or (id >= 500 and id < 900))::varchar from ev"),
+    ("chunk_starts", "id, case when id < 20 then '-6' else '-6,' || (case when id + 1480 - 1488 > 1488 then '1482,' else '' end) || (id + 1480 - 1494)::varchar end from ev where id < 1400 and id > 0 and id <> 8"), ("frame_blocks", "id, '20 304' from ev where id % 100 = 0"),
+    ("sample_span", "id, (least(round_even(((id % 5) + 2) * 2.0::double, 0), 10) - least(round_even((id % 5) * 2.0::double, 0), 10))::bigint::varchar from ev where id % 50 = 0"), ("decoded_text", "id, 'тест ' || id from ev where id % 50 = 0"),
+    ("lyric_source", "id, 'dir/a' || id || '.ass|' || case when id % 2 = 0 then 'op,ed' else '' end || '|' || case when id % 3 = 0 then 'ja' else '' end from ev"), ("histogram", "id, case when id % 2 = 0 then '0.5' else '0.0' end from ev where id % 20 in (0, 1)"), ("labels", "k, v from (values (0, 'rating'), (1, 'general'), (2, 'character')) t(k, v)"),
+    ("changed_share", "id, case when p is null then '0' else round(abs(value - p) / 500 * 1000)::bigint::varchar end from (select id, value, lag(value) over (partition by ep order by sec, id) as p from ev)"), ("lyrics_of_styles", "id, 'line ' || (id % 50) from lines where kind = 'dialogue'"),
+    ("strongest_tags", "frame_id, tag || ' 0.50' from tags"),
+))
+def q_media_values(spark, d):
+    t = tables(spark, d)
+    ev, f, i = t.ev, t.faces, F.col("id")
+    box = media.head_box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.lit(1920.0), F.lit(1080.0))
+    words = lambda c, *names: F.concat_ws(" ", *[F.col(f"{c}.{n}").cast("string") for n in names])
+    size = media.input_size(100 + i % 900, 50 + i % 700)
+    half = media.halvings(F.when(i % 2 == 0, 1920).otherwise(300), F.when(i % 2 == 0, 1080).otherwise(170), F.lit(160), F.lit(90))
+    names = media.labels(spark.createDataFrame([(0, "safe", 9), (1, "blush", 0), (2, "c2", 4)], "place int, name string, category int"))
+    score = F.col("value") / 500
+    tags = media.tags_of(ev.select("id", F.array(F.lit(0.9), score, 1 - score).alias("scores")), names, ["id"])
+    key = lambda m: F.coalesce(F.get(F.map_keys(m), F.lit(0)), F.lit(""))
+    anchors = ev.select("id", F.lit(50.0).alias("cx"), F.lit(9.0).alias("cy"), (i % 200 * 2.0).alias("w"), F.lit(1.0).alias("h"), F.array(F.lit(0.1), i % 10 / 10).alias("scores"))
+    boxes = media.boxes_of(anchors, ["id"], 400.0, 400.0, 0.5)
+    mille = lambda c: F.bround(F.col(c) * 1000).cast("long").cast("string")
+    audio = ev.filter("id % 100 = 0").select("id", F.array_repeat(F.lit(1.0), 10000).alias("s"))
+    blocks = media.frame_blocks(audio, ["id"], "s").groupBy("id").agg(F.count("*").alias("n"), F.sum(F.size(F.filter("block", lambda v: v == 0.0))).alias("zeros"))
+    few = ev.filter("id % 50 = 0")
+    text = F.concat(F.lit("тест "), i.cast("string"))
+    coded = few.select("id", F.when(i % 100 == 0, F.encode(text, "UTF-16")).otherwise(F.encode(text, "UTF-8")).alias("content"))
+    spec = F.concat(F.lit("dir/a"), i.cast("string"), F.lit(".ass"), F.when(i % 2 == 0, "#op, ed").otherwise(""), F.when(i % 3 == 0, "@ja").otherwise(""))
+    source = ev.select("id", media.lyric_source(spec).alias("s"))
+    pixel = lambda r: F.struct(F.lit(r).alias("r"), F.lit(0).alias("g"), F.lit(70).alias("b"))
+    colours = ev.filter("id % 20 in (0, 1)").select("id", F.get(scenes.histogram(F.array(pixel(200), F.when(i % 2 == 0, pixel(130)).otherwise(pixel(10)), pixel(10), F.when(i % 2 == 0, pixel(140)).otherwise(pixel(10)))), F.when(i % 2 == 0, 33).otherwise(2)).alias("v"))
+    change = media.changed_share(ev.select("id", "ep", F.struct("sec", "id").alias("at"), F.array(score).alias("px")), ["ep"], "at", "px")
+    events = t.lines.select("start", "end", F.when(F.col("kind") == "dialogue", "*OP").otherwise("x").alias("style"), F.concat_ws("#", F.col("id").cast("string"), "text").alias("text"))
+    lyric = media.lyrics_of_styles(events, ["op"], 0.5, "ja")
+    return _answers(
+        ("head_box", f.select("id", box.alias("b")), "id", words("b", "left", "top", "right", "bottom")), ("input_size", ev.select("id", size.alias("s")), "id", F.col("s.width")), ("halvings", ev.select("id", half.alias("h")), "id", _NAMES(F.transform("h", lambda x: F.concat_ws("x", x["width"].cast("string"), x["height"].cast("string"))))),
+        ("tags_of", tags, "id", F.concat_ws(" ", key(F.col("general")), key(F.col("character")), key(F.col("rating")))), ("boxes_of", boxes, "id", F.concat_ws(" ", mille("x0"), mille("x1"))), ("tall_enough", media.tall_enough(f, 0.3), "id", F.lit(None)),
+        ("in_indices", ev, "id", media.in_indices(i, [800, 3, 5])), ("in_ranges", ev, "id", media.in_ranges(i, [(10, 20), (30, 41), (500, 900)])), ("chunk_starts", ev.filter("id < 1400 and id > 0 and id <> 8"), "id", _NAMES(media.chunk_starts(i + 1480 - F.when(i < 20, 12).otherwise(0)).cast("array<string>"))),
+        ("frame_blocks", blocks, "id", F.concat_ws(" ", F.col("n").cast("string"), F.col("zeros").cast("string"))), ("sample_span", few, "id", F.size(media.sample_span(F.array_repeat(F.lit(1.0), 10), 2, (i % 5).cast("double"), (i % 5 + 2).cast("double")))),
+        ("decoded_text", media.decoded_text(coded, media.SCRIPT_ENCODINGS), "id", "text"), ("lyric_source", source, "id", F.concat_ws("|", "s.path", _NAMES("s.styles"), "s.lang")), ("histogram", colours, "id", F.when(F.col("v") == 0.5, "0.5").otherwise("0.0")), ("labels", names, "place", "kind"),
+        ("changed_share", change, "at.id", F.bround(F.col("mean") * 1000).cast("long")), ("lyrics_of_styles", lyric, F.split_part("text", F.lit("#"), F.lit(1)), F.split_part("text", F.lit("#"), F.lit(2))),
+        ("strongest_tags", t.tags, "frame_id", drafts.top_tags(F.create_map("tag", F.lit(0.5)))),
+    )

@@ -26,7 +26,7 @@ def smile(tags: Column) -> Column:
 def top_tags(tags: Column, count: int = 3) -> Column:
     """The strongest tags of a map as a text; neutral without any."""
     ranked = F.slice(F.array_sort(F.transform(F.map_entries(tags), lambda e: F.struct((-e["value"]).alias("o"), e["key"].alias("t")))), 1, count)
-    text = F.array_join(F.transform(ranked, lambda r: F.concat(r["t"], F.lit(" "), F.format_string("%.2f", -r["o"]))), ", ")
+    text = F.array_join(F.transform(ranked, lambda r: F.concat(r["t"], F.lit(" "), F.format_string("%.2f", F.bround(-r["o"], 2)))), ", ")
     return F.coalesce(F.nullif(text, F.lit("")), F.lit("neutral"))
 
 
@@ -45,9 +45,9 @@ def reason(section: Column, closing: Column, face: Column, tags: Column) -> Colu
 
 def described(face: Column, presence: Column, others: Column, expressions: Column) -> Column:
     """A candidate in a few words; expressions: array of struct (tag, peak)."""
-    tags = F.array_join(F.transform(F.slice(expressions, 1, 5), lambda t: F.concat(t["tag"], F.lit(" "), F.format_string("%.2f", t["peak"]))), ", ")
+    tags = F.array_join(F.transform(F.slice(expressions, 1, 5), lambda t: F.concat(t["tag"], F.lit(" "), F.format_string("%.2f", F.bround(t["peak"], 2)))), ", ")
     with_ = F.when(F.size(others) > 0, F.concat(F.lit("; with "), F.array_join(others, ", "))).otherwise("")
-    return F.concat(framing(face), F.lit(", "), F.format_string("%.0f", presence * 100), F.lit("% on screen"), with_, F.lit("; "), F.coalesce(F.nullif(tags, F.lit("")), F.lit("neutral")))
+    return F.concat(framing(face), F.lit(", "), F.bround(presence * 100).cast("int").cast("string"), F.lit("% on screen"), with_, F.lit("; "), F.coalesce(F.nullif(tags, F.lit("")), F.lit("neutral")))
 
 
 def peaks(frames: DataFrame) -> DataFrame:
@@ -94,7 +94,8 @@ def alternated(picks: DataFrame, fitting: DataFrame, plan: str = "plan") -> Data
         return pd.DataFrame({plan: [key[0]] * len(out), "slot": places, "shot": out})
 
     left = picks.groupBy(plan, "run")
-    right = fitting.join(picks.select(plan, "slot", "run"), [plan, "slot"]).groupBy(plan, "run")
+    of = picks.select(plan, "slot", "run").toDF("_plan", "_slot", "_run")
+    right = fitting.join(of, (F.col(plan) == F.col("_plan")) & (F.col("slot") == F.col("_slot"))).select(F.col("_plan").alias(plan), "slot", "shot", F.col("_run").alias("run")).groupBy(plan, "run")
     return left.cogroup(right).applyInPandas(run, f"{plan} {dict(picks.dtypes)[plan]}, slot long, shot long")
 
 

@@ -55,7 +55,7 @@ def calm(slots: DataFrame, motion: DataFrame) -> DataFrame:
     m = motion.select(F.col("shot").alias("_shot"), "still", "onsets")
     moved = F.exists("onsets", lambda o: (o["time"] >= F.col("in")) & (o["time"] <= F.col("out")) & (o["strength"] >= WEAKEST_ONSET))
     x = slots.join(m, F.col("shot") == F.col("_shot"), "left")
-    return x.withColumn("calm", F.coalesce(F.col("still") & ~moved, F.lit(False))).drop("_shot", "still", "onsets")
+    return x.withColumn("calm", F.coalesce(F.col("still") & F.col("in").isNotNull() & F.col("out").isNotNull() & ~moved, F.lit(False))).drop("_shot", "still", "onsets")
 
 
 def source_time(start: Column, source_in: Column, source_out: Column, slot_start: Column, slot_end: Column) -> Column:
@@ -87,7 +87,7 @@ def suggested(slots: DataFrame, beats: DataFrame, bars: DataFrame, motion: DataF
     none = F.lit(None).cast("double")
     rows = F.array(
         F.when(~has("flash") & (F.col("_entry") | F.col("_down")), F.struct(F.lit("flash").alias("kind"), none.alias("at"), F.when(F.col("_entry"), "flash on the chorus entry").otherwise("flash on the chorus downbeat").alias("note"))),
-        F.when(~has("punch") & F.col("at").isNotNull(), F.struct(F.lit("punch").alias("kind"), F.col("at"), F.format_string("punch on the accent at %.2fs (%.2f)", "at", "strength").alias("note"))),
+        F.when(~has("punch") & F.col("at").isNotNull(), F.struct(F.lit("punch").alias("kind"), F.col("at"), F.format_string("punch on the accent at %.2fs (%.2f)", F.bround("at", 2), F.bround("strength", 2)).alias("note"))),
         F.when(F.col("_drift"), F.struct(F.lit("drift").alias("kind"), none.alias("at"), F.lit("drift, nothing moves in the shot").alias("note"))),
     )
     return x.select(plan, "slot", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("_e")).select(plan, "slot", "_e.*")
@@ -148,8 +148,8 @@ def clip_effects(fx: DataFrame, slots: DataFrame, plan: str = "plan") -> DataFra
 
 def described(fx: DataFrame, keys: list[str]) -> DataFrame:
     """keys, words: a slot's effects (kind, at, zoom) in a few words, in the order of place."""
-    words = F.when((F.col("kind") == "punch") & F.col("at").isNotNull(), F.format_string("punch %.2fx at %.2fs", F.coalesce("zoom", F.lit(PUNCH_ZOOM)), F.col("at")))
-    words = words.when(F.col("kind") == "drift", F.format_string("drift to %.2fx", F.coalesce("zoom", F.lit(DRIFT_ZOOM)))).otherwise(F.col("kind"))
+    words = F.when((F.col("kind") == "punch") & F.col("at").isNotNull(), F.format_string("punch %.2fx at %.2fs", F.bround(F.coalesce("zoom", F.lit(PUNCH_ZOOM)), 2), F.bround("at", 2)))
+    words = words.when(F.col("kind") == "drift", F.format_string("drift to %.2fx", F.bround(F.coalesce("zoom", F.lit(DRIFT_ZOOM)), 2))).otherwise(F.col("kind"))
     return fx.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", words.alias("w")))), lambda s: s["w"]), ", ").alias("words"))
 
 
