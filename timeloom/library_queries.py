@@ -613,7 +613,7 @@ def q_media_files(spark, d):
     ("chunk_starts", "id, case when id < 20 then '-6' else '-6,' || (case when id + 1480 - 1488 > 1488 then '1482,' else '' end) || (id + 1480 - 1494)::varchar end from ev where id < 1400 and id > 0 and id <> 8"), ("frame_blocks", "id, '20 304' from ev where id % 100 = 0"),
     ("sample_span", "id, (least(round_even(((id % 5) + 2) * 2.0::double, 0), 10) - least(round_even((id % 5) * 2.0::double, 0), 10))::bigint::varchar from ev where id % 50 = 0"), ("decoded_text", "id, 'тест ' || id from ev where id % 50 = 0"),
     ("lyric_source", "id, 'dir/a' || id || '.ass|' || case when id % 2 = 0 then 'op,ed' else '' end || '|' || case when id % 3 = 0 then 'ja' else '' end from ev"), ("histogram", "id, case when id % 2 = 0 then '0.5' else '0.0' end from ev where id % 20 in (0, 1)"), ("labels", "k, v from (values (0, 'rating'), (1, 'general'), (2, 'character')) t(k, v)"),
-    ("changed_share", "id, case when p is null then '0' else round(abs(value - p) / 500 * 1000)::bigint::varchar end from (select id, value, lag(value) over (partition by ep order by sec, id) as p from ev)"), ("lyrics_of_styles", "id, 'line ' || (id % 50) from lines where kind = 'dialogue'"),
+    ("changed_share", "id, case when p is null then '0' else round(abs(value - p) / 500 * 100000)::bigint::varchar end from (select id, value, lag(value) over (partition by ep order by sec, id) as p from ev)"), ("lyrics_of_styles", "id, 'line ' || (id % 50) from lines where kind = 'dialogue'"),
     ("strongest_tags", "frame_id, tag || ' 0.50' from tags"),
 ))
 def q_media_values(spark, d):
@@ -648,6 +648,6 @@ def q_media_values(spark, d):
         ("in_indices", ev, "id", media.in_indices(i, [800, 3, 5])), ("in_ranges", ev, "id", media.in_ranges(i, [(10, 20), (30, 41), (500, 900)])), ("chunk_starts", ev.filter("id < 1400 and id > 0 and id <> 8"), "id", _NAMES(media.chunk_starts(i + 1480 - F.when(i < 20, 12).otherwise(0)).cast("array<string>"))),
         ("frame_blocks", blocks, "id", F.concat_ws(" ", F.col("n").cast("string"), F.col("zeros").cast("string"))), ("sample_span", few, "id", F.size(media.sample_span(F.array_repeat(F.lit(1.0), 10), 2, (i % 5).cast("double"), (i % 5 + 2).cast("double")))),
         ("decoded_text", media.decoded_text(coded, media.SCRIPT_ENCODINGS), "id", "text"), ("lyric_source", source, "id", F.concat_ws("|", "s.path", _NAMES("s.styles"), "s.lang")), ("histogram", colours, "id", F.when(F.col("v") == 0.5, "0.5").otherwise("0.0")), ("labels", names, "place", "kind"),
-        ("changed_share", change, "at.id", F.bround(F.col("mean") * 1000).cast("long")), ("lyrics_of_styles", lyric, F.split_part("text", F.lit("#"), F.lit(1)), F.split_part("text", F.lit("#"), F.lit(2))),
+        ("changed_share", change, "at.id", F.round(F.col("mean") * 100000).cast("long")), ("lyrics_of_styles", lyric, F.split_part("text", F.lit("#"), F.lit(1)), F.split_part("text", F.lit("#"), F.lit(2))),
         ("strongest_tags", t.tags, "frame_id", drafts.top_tags(F.create_map("tag", F.lit(0.5)))),
     )

@@ -83,14 +83,16 @@ def knn_vote(rows: DataFrame, placed: DataFrame, k: int = 3, far: float = 0.6, b
     blocks = blocks or _blocks(rows, placed)
     deal = lambda df: df.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     left = deal(rows.select("id", "embedding")).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = deal(placed.select("id", "embedding", "owner")).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "embedding", "owner", F.col("_c").alias("_b"), F.col("_b").alias("_c"))
+    # names of its own, as both sides may come from one table
+    right = deal(placed.select("id", "embedding", "owner")).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = right.select(F.col("id").alias("p_id"), F.col("embedding").alias("p_embedding"), F.col("owner").alias("p_owner"), F.col("_c").alias("p_b"), F.col("_b").alias("p_c"))
 
     def nearest(_, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"id": [], "other": [], "owner": [], "distance": []})
-        x, y = (np.stack(v["embedding"]).astype(np.float64) for v in (a, b))
+        x, y = (np.stack(v).astype(np.float64) for v in (a["embedding"], b["p_embedding"]))
         x, y = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9) for v in (x, y))
-        out, ids, owners = [], b["id"].to_numpy(), b["owner"].to_numpy()
+        out, ids, owners = [], b["p_id"].to_numpy(), b["p_owner"].to_numpy()
         for at in range(0, len(x), 512):
             d = 1 - x[at : at + 512] @ y.T
             d[a["id"].to_numpy()[at : at + 512, None] == ids] = np.inf
@@ -98,7 +100,7 @@ def knn_vote(rows: DataFrame, placed: DataFrame, k: int = 3, far: float = 0.6, b
             out.append(pd.DataFrame({"id": np.repeat(a["id"].to_numpy()[at : at + 512], best.shape[1]), "other": ids[best].ravel(), "owner": owners[best].ravel(), "distance": np.take_along_axis(d, best, 1).ravel()}))
         return pd.concat(out)
 
-    found = left.groupBy("_b", "_c").cogroup(right.groupBy("_b", "_c")).applyInPandas(nearest, "id long, other long, owner long, distance double").filter("distance < double('infinity')")
+    found = left.groupBy("_b", "_c").cogroup(right.groupBy("p_b", "p_c")).applyInPandas(nearest, "id long, other long, owner long, distance double").filter("distance < double('infinity')")
     ranked = found.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))).filter(F.col("_r") <= k)
     vote = ranked.groupBy("id").agg(F.count("*").alias("_n"), F.count_distinct("owner").alias("_o"), F.avg("distance").alias("mean"), F.min("owner").alias("owner"))
     return vote.filter((F.col("_n") == k) & (F.col("_o") == 1) & (F.col("mean") <= far)).select("id", "owner")
