@@ -56,3 +56,13 @@ def test_each_row_is_redacted_by_its_own_spans(spark):
     out = pii.redacted(spark.createDataFrame(rows, "doc_id long, text string, _of string, row string"))
     assert out.columns == ["doc_id", "text", "_of", "row"]
     assert {r["text"] for r in out.collect()} == {"hello there <email> please", "<email> first", "<ip>", None}
+
+
+def test_many_spans_in_one_text(spark):
+    # around the sizes of a block of folded matches, and a text with thousands
+    texts = {n: " ".join(f"é{k} a{k % 13}@b.cc, 10.0.0.{k % 256}" for k in range(n)) for n in (1, 63, 64, 65, 128, 129, 4000)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(s) for s in r["base"]] for r in pii.personal_data(df).collect()}
+    assert got == {n: base(t) for n, t in texts.items()}
+    whole = {r["doc_id"]: r["text"] for r in pii.redacted(df).collect()}
+    assert whole == {n: IP.sub("<ip>", EMAIL.sub("<email>", t)) for n, t in texts.items()}
