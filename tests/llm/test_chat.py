@@ -37,3 +37,12 @@ def test_nulls_repeats_long_and_empty(spark):
     assert len(got[1]["turns"]) == 3 and got[1]["turns"][0]["role"] == "" and got[None]["learned"] == ["n"]
     assert len(got[3]["turns"]) == 1500 and hashlib.md5("".join(got[3]["learned"]).encode()).digest() == hashlib.md5(b"x" * 50 * 750).digest()
     assert chat.parse_chat(chat.format_chat(df.limit(0))).count() == 0
+
+
+def test_masks_of_many_turns(spark):
+    # around the sizes of a block of folded turns; a conversation of thousands
+    rows = [(n, t, "assistant" if t % 3 else "user", f"é{t}</s>") for n in (1, 63, 64, 65, 129, 5000) for t in range(n)]
+    formatted = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    for r in chat.parse_chat(formatted).collect():
+        assert r["learned"] == [x for n, _, role, x in rows if n == r["conv_id"] and role == "assistant"]
+        assert [x["text"] for x in r["turns"]] == [x for n, _, _, x in rows if n == r["conv_id"]]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import once
+from .common import once, placed
 
 ESC = "\x1b"
 #: Control strings of common chat templates that texts must not contain as such; the first character of each is set apart.
@@ -52,12 +52,13 @@ def format_chat(turns: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> Da
             lambda b: F.transform(b["parts"], lambda p, i: F.struct(F.when(i == 0, F.length(head(b))).otherwise(len(NEXT)).alias("gap"), F.length(p).alias("len"), F.when(i == F.size(b["parts"]) - 1, len(CLOSE)).otherwise(0).alias("tail"), learned(b).alias("learn"))),
         )
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("out"))
     step = lambda acc, p: F.struct(
         (acc["at"] + p["gap"] + p["len"] + p["tail"]).alias("at"),
-        F.when(p["learn"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + p["gap"]).alias("start"), p["len"].alias("length"))))).otherwise(acc["spans"]).alias("spans"),
+        F.when(p["learn"], F.concat(acc["out"], F.array(F.struct((acc["at"] + p["gap"]).alias("start"), p["len"].alias("length"))))).otherwise(acc["out"]).alias("out"),
     )
-    return x.select("conv_id", formatted.alias("formatted"), F.aggregate(lengths, start, step, lambda acc: acc["spans"]).alias("mask"))
+    moved = lambda s, by: F.struct((s["start"] + by).alias("start"), s["length"].alias("length"))
+    return x.select("conv_id", formatted.alias("formatted"), placed(lengths, start, step, moved).alias("mask"))
 
 
 def parse_chat(formatted: DataFrame) -> DataFrame:

@@ -77,3 +77,28 @@ def once(df: DataFrame, **columns) -> DataFrame:
 def bound(value, body):
     """body(value), with value computed once though body uses it often."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Elements that placed() folds together.
+FOLD = 64
+
+
+def placed(items, start, step, moved):
+    """The array ``out`` of a fold over items whose state is (at, out); ``step`` counts places from 0, moved(x, by) shifts one.
+
+    A fold copies its array at each step, so it is made for FOLD items at a time, and each block is then moved by the place
+    that the blocks before it end at.
+    """
+
+    def blocks(items):
+        last = F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / FOLD).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.aggregate(F.slice(items, k * FOLD + 1, F.lit(FOLD)), start, step))
+
+    def offsets(parts):
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(parts, none, lambda a, x: F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    def joined(parts):
+        return bound(offsets(parts), lambda o: F.flatten(F.transform(parts, lambda x, k: F.transform(x["out"], lambda s: moved(s, F.get(o, k))))))
+
+    return bound(items, lambda p: bound(blocks(p), joined))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound, cut, once
+from .common import FOLD, bound, cut, once, placed
 
 #: In the order in which spans of one start are listed; the last two are those that the method adds.
 KINDS = ("email", "ip", "card", "phone", "secret", "number")
@@ -32,18 +32,12 @@ GAZETTEER = (
 ).split()
 AGAINST = "isbn issn doi version page pages chapter figure vol volume commit sha md5 build".split()
 VOTES, FEATURES, ROUNDS = 5, 8, 20
-#: Matches whose places are folded together.
-FOLD = 64
 
 Span = "struct<start:int,k:int,end:int>"
 
 
 def _found(text: Column, regex: str) -> Column:
-    """Array of (start, end, value, before): all matches in code points; before: up to 24 characters in front.
-
-    A fold copies its array for each match, so places are folded for FOLD matches at a time and each block is then moved by
-    the length of those before it.
-    """
+    """Array of (start, end, value, before): all matches in code points; before: up to 24 characters in front."""
     pieces, values = F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string,before:string>>").alias("out"))
 
@@ -52,22 +46,11 @@ def _found(text: Column, regex: str) -> Column:
         end = begin + F.length(pair["value"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), pair["value"].alias("value"), F.right(pair["piece"], F.lit(24)).alias("before")))).alias("out"))
 
-    def blocks(pairs: Column) -> Column:
-        last = F.floor((F.greatest(F.size(pairs), F.lit(1)) - 1) / FOLD).cast("int")
-        return F.transform(F.sequence(F.lit(0), last), lambda k: F.aggregate(F.slice(pairs, k * FOLD + 1, F.lit(FOLD)), start, step))
-
-    def offsets(parts: Column) -> Column:
-        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(parts, none, lambda a, x: F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
-
     def moved(s: Column, by: Column) -> Column:
         return F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["value"].alias("value"), s["before"].alias("before"))
 
-    def joined(parts: Column) -> Column:
-        return bound(offsets(parts), lambda o: F.flatten(F.transform(parts, lambda x, k: F.transform(x["out"], lambda s: moved(s, F.get(o, k))))))
-
     pairs = bound(values, lambda v: F.zip_with(F.slice(pieces, F.lit(1), F.size(v)), v, lambda p, x: F.struct(p.alias("piece"), x.alias("value"))))
-    return bound(pairs, lambda p: bound(blocks(p), joined))
+    return placed(pairs, start, step, moved)
 
 
 def _some(condition: Column, found: Column) -> Column:
