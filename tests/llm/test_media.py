@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from timeloom.llm import jpeg, media
 
@@ -161,3 +162,12 @@ def test_round_trip_of_texts(spark):
         assert s["media_sha256"] == hashlib.sha256(bytes(r["media"])).hexdigest()
     assert [short[2][c] for c in ("media_sha256", "feature")] == [short[7][c] for c in ("media_sha256", "feature")]
     assert media.digests(df.limit(0)).count() == 0
+
+
+def test_null_ids_repeated_rows_and_clashing_names(spark):
+    rows = [(1, "a", "x"), (1, "a", "x"), (1, "other", "x"), (None, "a", "x"), (None, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, feature string").withColumn("MEDIA", F.lit(1)).withColumn("n_bytes", F.lit("z"))
+    out = media.digests(df).collect()
+    assert sorted((r["doc_id"] or 0, r["n_bytes"]) for r in out) == [(0, 0), (0, 1), (1, 1), (1, 1), (1, 5)]
+    assert len({r["media_sha256"] for r in out if r["n_bytes"] == 1}) == 1
+    assert media.decoded(media.encoded(df)).count() == 5 and media.decoded(media.encoded(df.limit(0))).count() == 0

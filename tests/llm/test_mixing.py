@@ -58,3 +58,14 @@ def test_mixed_documents_keep_columns_and_repeat(spark):
     taken = mixing.mix(df).agg(F.sum(F.col("taken") / F.col("size"))).first()[0]
     out = mixing.mixed_documents(df)
     assert out.columns == df.columns and out.count() == taken
+
+
+def test_a_very_long_text_and_one_hot_source(spark):
+    rows = [(i, "w " * 3, "hot", i) for i in range(400)] + [(1000, "word\x0b" * 500_000, "long", 0), (1001, "w", "tiny", 0)]
+    got = {r["doc_id"]: r for r in mixing.mix(docs(spark, rows)).collect()}
+    want = targets({"hot": 1200, "long": 500_000, "tiny": 1})
+    assert got[1000]["size"] == got[1000]["source_size"] == 500_000
+    assert all(got[i]["target"] == pytest.approx(want[s]) for i, s in ((0, "hot"), (1000, "long"), (1001, "tiny")))
+    assert all(r["taken"] <= 2 * r["size"] for r in got.values())
+    assert abs(sum(got[i]["taken"] for i in range(400)) - want["hot"]) <= 3
+    assert abs(got[1000]["taken"] - want["long"]) <= 250_000

@@ -42,7 +42,11 @@ def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def encoded(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media for each row of docs (doc_id, text): the stored form. Null texts count as empty."""
+    """doc_id, n_bytes, media for each row of docs (doc_id, text): the stored form.
+
+    Null texts count as empty, a text of any length is stored whole; null ids and repeated rows stay, each row by itself;
+    other columns go, whatever their names; an empty table gives no rows.
+    """
     return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text")).mapInPandas(_encode, "doc_id bigint, n_bytes bigint, media binary")
 
 
@@ -100,7 +104,8 @@ def decoded(media: DataFrame, tensors: bool = True) -> DataFrame:
     """doc_id, n_bytes, media, payload, feature and, unless told otherwise, the RGB tensors of all frames.
 
     Everything is read from the stored bytes: the payload from the coefficients, the feature (number and size of frames,
-    mean of R, G and B in thousandths) from the RGB pictures.
+    mean of R, G and B in thousandths) from the RGB pictures. Rows are read one by one, so null ids and repeated rows stay;
+    other columns go; an empty table gives no rows; bytes that are no progressive file raise ValueError or IndexError.
     """
     schema = "doc_id bigint, n_bytes bigint, media binary, payload binary, feature string"
     return media.select("doc_id", "n_bytes", "media").mapInPandas(_decoder(tensors), f"{schema}, {TENSORS}" if tensors else schema)
@@ -119,6 +124,6 @@ def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Both steps in one pass over docs, with digests instead of payloads, media and tensors."""
+    """Both steps in one pass over docs, with digests instead of payloads, media and tensors; cases as in encoded()."""
     schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
     return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text")).mapInPandas(_digest, schema)

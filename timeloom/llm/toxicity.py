@@ -217,7 +217,8 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 def classified(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs (1 from a score of 0.7, ties included).
 
-    Repeated rows stay, a null doc_id counts as the empty text for held_out, other columns go, an empty table gives no rows.
+    Repeated rows stay, a null doc_id counts as the empty text for held_out, null texts are scored as empty ones, whole texts
+    of any length are scored; other columns go, whatever their names; an empty table gives no rows.
     """
     scored = score(docs.select("doc_id", "text"), fit(docs, labels, **options))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
