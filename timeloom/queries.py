@@ -20,6 +20,7 @@ from .operators import sequences as seq
 from .operators import song
 from .operators import vectors as vec
 from .plans import plans
+from .sources import texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -281,11 +282,12 @@ def q_per_bar_mean(spark, d):
 @query(f"""with {FRAMES}, b as (select episode, t, row_number() over (partition by episode order by t) - 1 as i from frames), d as (select episode, i % 4 as phase, count(*) as n, min(t) as first from b join (select frame_id, episode, t from frames where tag = 'purchase') using (episode, t) group by all)
 select episode, arg_max(phase, (n, -first)) as phase from d group by episode""")
 def q_bar_phase_mode(spark, d):
-    f = frames(spark, d)
-    w = Window.partitionBy("episode").orderBy("t")
-    beats = f.select("episode", "t", "tag", (F.row_number().over(w) - 1).cast("long").alias("i")).filter("tag = 'purchase'")
-    counts = beats.groupBy("episode", (F.col("i") % 4).alias("phase")).agg(F.count("*").alias("n"), F.min("t").alias("first"))
-    return counts.groupBy("episode").agg(F.max_by("phase", F.struct("n", -F.col("first"))).alias("phase"))
+    f = frames(spark, d).select("episode", "t", "tag")
+    first = song.bar_grid(f, f.filter("tag = 'purchase'"), "episode").filter("bar = 0").select("episode", "start")
+    # a phase is the place of the first bar among the beats
+    before = f.join(first, "episode").filter("t < start").groupBy("episode").agg(F.count("*").alias("phase"))
+    told = f.filter("tag = 'purchase'").select("episode").distinct()
+    return told.join(before, "episode", "left").select("episode", F.coalesce("phase", F.lit(0)).alias("phase"))
 
 
 @query(f"""with {FRAMES}, x as (select *, row_number() over (partition by episode order by t, frame_id) - row_number() over (partition by episode, tag order by t, frame_id) as g from frames)
@@ -351,7 +353,11 @@ def q_upgma_labels(spark, d):
     return vec.cluster(e, "part", 0.8)
 
 
-@query()
+@query(f"""with recursive {PLACED}{FACES}, f as (select episode, frame_id as id, w, h, frame_id % 89 / 89 as score, row_number() over (partition by episode order by frame_id % 89 / 89 desc, frame_id) as k from faces where w > 0 and h > 0),
+r as (select distinct episode, 0::bigint as k, []::struct(id bigint, w double, h double)[] as kept from f union all
+ select f.episode, f.k, case when len(list_filter(kept, lambda b: least(b.w, f.w) * least(b.h, f.h) / greatest(b.w * b.h + f.w * f.h - least(b.w, f.w) * least(b.h, f.h), 1e-9) > 0.7)) > 0 then kept else list_append(kept, {{'id': f.id, 'w': f.w, 'h': f.h}}) end from r join f on f.episode = r.episode and f.k = r.k + 1),
+b as (select episode, unnest(arg_max(kept, k)) as b from r group by episode)
+select f.episode, f.id, 0.0::double as x0, 0.0::double as y0, f.w as x1, f.h as y1, f.score from b join f on f.episode = b.episode and f.id = b.b.id""")
 def q_nms(spark, d):
     f = faces(spark, d).select("episode", F.col("frame_id").alias("id"), "x0", "y0", F.col("x1"), F.col("y1"), (F.col("frame_id") % 89 / 89).alias("score")).filter("x1 > 0 and y1 > 0")
     return vec.suppressed(f, "episode")
@@ -461,6 +467,10 @@ def q_candidates(spark, d):
     return plans.candidates(s, named, "c2", p, again, least=0.3, shortest=HOUR, width=GAP).select("episode", "idx", "presence")
 
 
+SCORED = """s as (select episode, idx, cluster_id, case idx % 4 when 0 then 'chorus' when 1 then 'bridge' when 2 then 'intro' else 'verse' end as section, presence as p, height as h from cast_),
+v as (select *, case section when 'chorus' then p + 0.8::double * h + 0.3::double * p when 'bridge' then 0.7::double * p + 0.5::double * p + 0.3::double * 0.5::double when 'intro' then 0.6::double * p + case when h >= 0.35 then 0.0 else 0.3 end::double + 0.3::double * (1 - least(p, 1.0)) else 0.5::double * p + 0.5::double * p + case when cluster_id > 3 then 0.2 else 0.0 end::double end as score from s)"""
+
+
 def _scores(spark, d):
     x = _cast(spark, d).join(spark.range(4).select(F.col("id").alias("k")), F.col("idx") % 4 == F.col("k"))
     section = F.element_at(F.array(*map(F.lit, ("chorus", "bridge", "intro", "verse"))), (F.col("k") + 1).cast("int"))
@@ -469,8 +479,7 @@ def _scores(spark, d):
     return x.select("episode", "idx", "section", "cluster_id", score.alias("score"))
 
 
-@query(f"""with {PLACED}{CAST}, s as (select episode, idx, cluster_id, case idx % 4 when 0 then 'chorus' when 1 then 'bridge' when 2 then 'intro' else 'verse' end as section, presence as p, height as h from cast_),
-v as (select *, case section when 'chorus' then p + 0.8::double * h + 0.3::double * p when 'bridge' then 0.7::double * p + 0.5::double * p + 0.3::double * 0.5::double when 'intro' then 0.6::double * p + case when h >= 0.35 then 0.0 else 0.3 end::double + 0.3::double * (1 - least(p, 1.0)) else 0.5::double * p + 0.5::double * p + case when cluster_id > 3 then 0.2 else 0.0 end::double end as score from s),
+@query(f"""with {PLACED}{CAST}, {SCORED},
 r as (select *, row_number() over (partition by episode, section order by round(score, 6) desc, idx, cluster_id) as rank from v) select episode, section, idx, cluster_id, round(score, 6) as score from r where rank <= 3""")
 def q_section_score_topk(spark, d):
     x = _scores(spark, d).withColumn("score", F.round("score", 6))
@@ -478,10 +487,16 @@ def q_section_score_topk(spark, d):
     return x.withColumn("r", F.row_number().over(w)).filter("r <= 3").select("episode", "section", "idx", "cluster_id", "score")
 
 
-@query()
+@query(f"""with recursive {PLACED}{CAST}, {SCORED}, pairs as (select episode as plan, (idx + k) % 6 as slot, idx * 10 + cluster_id as shot, round(score, 6) as score from v cross join (values (0), (1), (2)) n(k)),
+fits as (select plan, slot, case slot % 4 when 0 then 0 when 1 then 1 when 2 then 3 else 2 end as turn, list(shot order by score desc, shot) as shots from pairs group by plan, slot),
+q as (select 0 as mode, *, row_number() over (partition by plan order by slot <> 5, turn, slot) as k from fits union all select 1, *, row_number() over (partition by plan order by len(shots), slot <> 5, turn, slot) from fits),
+r as (select mode, plan, 0::bigint as k, []::bigint[] as used from q where k = 1 union all select q.mode, q.plan, q.k, list_append(used, list_filter(shots, lambda x: not list_contains(used, x))[1]) from r join q on q.mode = r.mode and q.plan = r.plan and q.k = r.k + 1),
+done as (select mode, plan, arg_max(used, k) as used from r group by all), best as (select plan, min(mode) as mode from done where len(list_filter(used, lambda x: x is null)) = 0 group by plan)
+select plan, slot, used[k] as shot from best join done using (plan, mode) join q using (plan, mode)""")
 def q_greedy_assign(spark, d):
-    s = _scores(spark, d)
-    pairs = s.select(F.col("episode").alias("plan"), (F.col("idx") % 6).alias("slot"), "section", F.lit(False).alias("closing"), (F.col("idx") * 10 + F.col("cluster_id")).alias("shot"), "score")
+    s = _scores(spark, d).withColumn("slot", F.explode(F.transform(F.array(*map(F.lit, range(3))), lambda k: (F.col("idx") + k) % 6)))
+    section = F.element_at(F.array(*map(F.lit, ("chorus", "bridge", "intro", "verse"))), (F.col("slot") % 4 + 1).cast("int"))
+    pairs = s.select(F.col("episode").alias("plan"), "slot", section.alias("section"), (F.col("slot") == 5).alias("closing"), (F.col("idx") * 10 + F.col("cluster_id")).alias("shot"), F.round("score", 6).alias("score"))
     return plans.assign(pairs)
 
 
@@ -491,25 +506,21 @@ def q_beat_snap(spark, d):
     return plans.snapped(shots(spark, d), beats, "episode").select("episode", "idx", "start", "end")
 
 
-@query(f"""with {SHOTS}, o as (select episode, idx, (t - start) / 1e6 as time, score / 500 as strength from placed join (select episode, idx, start from shots) using (episode, idx) where tag = 'view' and score / 500 >= 0.03),
-g as (select episode, idx, (t - start) / 1e6 as place, 0.5 + (frame_id % 5) / 10.0::double as weight from placed join (select episode, idx, start from shots) using (episode, idx) where tag = 'click'),
-x as (select o.episode, o.idx, time, place, time - place * 2.0::double / 2.0::double as new, strength * weight - 0.02::double * abs(time - place * 2.0::double / 2.0::double - 5.0::double) as score, ("end" - start) / 1e6 as last from o join g using (episode, idx) join shots using (episode, idx)),
-y as (select * from x where new >= -1e-6 and new + 2 <= last + 1e-6 and new + 0.25 <= new + 1 )
-select episode, idx, round(max(score), 6) as score from y group by all""")
+@query(f"""with {SHOTS}, w as (select episode, idx, start, ("end" - start) / 1e6 as last from shots), o as (select episode, idx, last, (t - start) / 1e6 as time, score / 500 as strength from placed join w using (episode, idx) where tag = 'view' and score / 500 >= 0.03),
+g as (select episode, idx, (t - start) / 1e6 as place, 0.5::double + (frame_id % 5) / 10.0::double as weight from placed join w using (episode, idx) where tag = 'click'),
+x as (select *, time - place * (last / 2) / (last / 2) as new from o join g using (episode, idx)),
+y as (select *, strength * weight - 1e-6::double * abs(new - last / 4) as score from x where new >= -1e-6 and new + last / 2 <= last + 1e-6 and new + least(0.25::double, last / 2 / 4) <= last / 2 and last / 2 <= new + last / 2 - least(0.25::double, last / 2 / 4))
+select episode, idx, round(b.new, 6) as at, b.time as onset, b.place as target, round(b.score, 6) as score from (select episode, idx, arg_max({{'new': new, 'time': time, 'place': place, 'score': score}}, (score, -time, -place)) as b from y group by all)""")
 def q_sync_best(spark, d):
     s = shots(spark, d)
     p = placed(spark, d).join(s.select("episode", "idx", F.col("start").alias("s")), ["episode", "idx"]).withColumn("sec", (F.col("t") - F.col("s")) / 1e6)
-    slots = s.select("episode", "idx", F.lit(0.0).alias("start"), F.lit(2.0).alias("length"), F.lit(2.0).alias("duration"), F.lit(5.0).alias("window"), F.lit(0.0).alias("first"), ((F.col("end") - F.col("start")) / 1e6).alias("last"))
+    last = (F.col("end") - F.col("start")) / 1e6
+    # a slot of half a shot, whose anchor is the shot's middle
+    slots = s.select("episode", "idx", F.lit(0.0).alias("start"), (last / 2).alias("length"), (last / 2).alias("duration"), (last / 4).alias("window"), F.lit(0.0).alias("first"), last.alias("last"), (last / 2).alias("anchor"))
     onsets = p.filter("tag = 'view'").select("episode", "idx", F.col("sec").alias("time"), (F.col("score") / 500).alias("strength"))
     targets = p.filter("tag = 'click'").select("episode", "idx", F.col("sec").alias("place"), (0.5 + F.col("frame_id") % 5 / F.lit(10.0)).alias("weight"))
-    # the anchor is the middle of any window: a candidate always keeps it inside
-    mid = slots.join(onsets.select("episode", "idx", "time"), ["episode", "idx"]).select("episode", "idx").distinct()
-    slots = slots.join(mid, ["episode", "idx"]).withColumn("anchor", F.lit(None).cast("double"))
-    x = slots.join(onsets.filter("strength >= 0.03"), ["episode", "idx"]).join(targets, ["episode", "idx"])
-    x = x.withColumn("anchor", F.col("time") - F.col("place") + 1.0).select("episode", "idx", F.struct("time", "place").alias("pair"), "start", "length", "duration", "window", "first", "last", "anchor", "time", "strength", "place", "weight")
-    keys = ["episode", "idx", "pair"]
-    best = plans.synchronised(x.select(*keys, "start", "length", "duration", "window", "first", "last", "anchor"), x.select(*keys, "time", "strength"), x.select(*keys, "place", "weight"), keys)
-    return best.groupBy("episode", "idx").agg(F.round(F.max("score"), 6).alias("score"))
+    best = plans.synchronised(slots, onsets, targets, ["episode", "idx"], cost=1e-6)
+    return best.select("episode", "idx", F.round("at", 6).alias("at"), "onset", "target", F.round("score", 6).alias("score"))
 
 
 TIMING = f"""slots as (select episode as plan, idx as slot, start / 1e6 as start, "end" / 1e6 as "end", case when idx % 5 = 0 then start / 1e6 + 0.5::double end as accent, lag("end" / 1e6) over (partition by episode order by idx) as prev from shots),
@@ -552,16 +563,26 @@ def q_validate_shots(spark, d):
     return plans.shot_issues(slots, known, known.filter("shot % 13 = 0").select("shot"), known.filter("shot % 7 = 0").select("shot"), cast)
 
 
-@query("select o_orderstatus as status, o_orderpriority as priority, count(*) as n from orders group by rollup (o_orderstatus, o_orderpriority)")
+@query("""with s as (select o_orderkey % 50 as plan, o_custkey % 40 as shot, o_orderkey % 9 = 0 or o_custkey % 11 = 0 as missing, case when o_orderkey % 50 % 3 > 0 and o_orderkey % 7 = 0 then 'error' when o_orderkey % 5 = 0 then 'warning' end as level from orders)
+select plan, count(*) filter (level = 'error') = 0 as ok, count(*) filter (level = 'error') as errors, count(*) filter (level = 'warning') as warnings, count(distinct shot) as shots, count(*) filter (missing) as missing from s group by plan""")
 def q_report_rollup(spark, d):
-    return _table(spark, d, "orders").rollup(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"))
+    o = _table(spark, d, "orders").withColumn("plan", F.col("o_orderkey") % 50)
+    time = lambda c, n: F.when(F.col(c) % n != 0, 1.0)
+    slots = o.select("plan", (F.col("o_custkey") % 40).alias("shot"), time("o_orderkey", 9).alias("in"), time("o_custkey", 11).alias("out"))
+    level = F.when((F.col("plan") % 3 > 0) & (F.col("o_orderkey") % 7 == 0), "error").when(F.col("o_orderkey") % 5 == 0, "warning")
+    return plans.report(o.select("plan", level.alias("level")).filter("level is not null"), slots)
 
 
-@query(f"""with {FRAMES}, l as (select frame_id, episode, t, least(coalesce(lead(t) over (partition by episode order by t, frame_id), t + 5 * {HOUR}), t + 10 * {HOUR}) as e from frames) select frame_id, t as start, e as "end" from l""")
+@query(f"""with {FRAMES}, m as (select episode, frame_id, tag, (t - 1704067200000000) // 1000 as ms from frames), x as (select *, ms // 60000 * 60.0::double + ms % 60000 / 1000.0::double as s from m),
+y as (select *, least(coalesce(lead(s) over (partition by episode order by s, frame_id), s + 18000), s + 36000) as e from x)
+select episode, tag || frame_id as text, s - 0.25 as start, e - 0.25 as "end" from y""")
 def q_lyric_end(spark, d):
-    f = frames(spark, d)
-    following = F.lead("t").over(Window.partitionBy("episode").orderBy("t", "frame_id"))
-    return f.select("frame_id", F.col("t").alias("start"), F.least(F.coalesce(following, F.col("t") + 5 * HOUR), F.col("t") + 10 * HOUR).alias("end"))
+    ms = F.floor((F.col("t") - 1704067200000000) / 1000)
+    stamp = F.concat(F.lit("["), F.floor(ms / 60000).cast("string"), F.lit(":"), F.format_string("%02d.%03d", F.floor(ms % 60000 / 1000), ms % 1000), F.lit("]"))
+    lyric = frames(spark, d).select("episode", F.struct("t", "frame_id", F.concat(stamp, "tag", F.col("frame_id").cast("string")).alias("line")).alias("x"))
+    files = lyric.groupBy("episode").agg(F.array_sort(F.collect_list("x")).alias("x")).select(F.col("episode").cast("string").alias("path"), F.concat(F.lit("[offset:250]\n"), F.array_join("x.line", "\n")).alias("text"))
+    found = texts.read_lyrics(files, longest=36000.0, tail=18000.0)
+    return found.select(F.col("path").cast("long").alias("episode"), "text", "start", "end")
 
 
 @query("select conv_id, turn, count(*) over (partition by regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g')) > 1 as refrain from conversations")
@@ -572,22 +593,22 @@ def q_refrain_count(spark, d):
     return c.withColumn("_n", norm).join(n, F.col("_n").eqNullSafe(F.col("_k"))).select("conv_id", "turn", "refrain")
 
 
-@query(f"with {SERIES}, q as (select series, quantile_cont(v, 1 / 3.0::double) as q from series group by 1) select series, i from series join q using (series) where v <= q")
+@query(f"with {SERIES}, q as (select series, quantile_cont(v, 1 / 3.0::double) as q from series group by 1) select series, i from series join q using (series) where v <= q and i % 8 < 2")
 def q_quiet_bars(spark, d):
-    s = series(spark, d)
-    q = s.groupBy("series").agg(F.percentile("v", F.lit(1 / 3)).alias("q"))
-    return s.join(q, "series").filter("v <= q").select("series", "i")
+    bars = series(spark, d).select("series", F.col("i").alias("bar"), F.col("v").alias("energy"), (F.col("i") % 8 / 8).alias("sung"))
+    return song.quiet_bars(bars, "series").select("series", F.col("bar").alias("i"))
 
 
-@query(f"""with {SERIES}, p as (select series, quantile_cont(v, 0.95::double) as p from series group by 1), m as (select *, max(v) over (partition by series order by i rows between 2 preceding and 2 following) as peak, lag(v, 4) over (partition by series order by i) as was from series)
-select series, i, round(0.7::double * least(peak / p, 1) + 0.3::double * least(greatest((v - coalesce(was, v)) / 6, 0), 1), 6) as strength from m join p using (series)""")
+@query(f"""with {SERIES}, p as (select series, quantile_cont(v, 0.95::double) as p from series group by 1), b as (select series, i from series where i % 5 = 0),
+m as (select b.series, b.i, max(f.v) as peak, max(f.v / 8) filter (f.i > b.i) - min(f.v / 8) filter (f.i <= b.i) as rise from b join series f on f.series = b.series and f.i between b.i - 2 and b.i + 2 group by all)
+select series, i, round_even(0.7::double * least(greatest(peak / greatest(p, 1e-9::double), 0), 1) + 0.3::double * least(greatest(coalesce(rise, 0) / 6, 0), 1), 3) as strength from m join p using (series)""")
 def q_accent_strength(spark, d):
     s = series(spark, d)
-    p = s.groupBy("series").agg(F.percentile("v", F.lit(0.95)).alias("p"))
-    w = Window.partitionBy("series").orderBy("i")
-    x = s.withColumns({"peak": F.max("v").over(w.rowsBetween(-2, 2)), "was": F.coalesce(F.lag("v", 4).over(w), F.col("v"))}).join(p, "series")
-    strength = 0.7 * F.least(F.col("peak") / F.col("p"), F.lit(1.0)) + 0.3 * F.least(F.greatest((F.col("v") - F.col("was")) / 6, F.lit(0.0)), F.lit(1.0))
-    return x.select("series", "i", F.round(strength, 6).alias("strength"))
+    # beats stand between frames, so that five frames are within reach of each
+    levels = s.select("series", (F.col("i") * 0.02).alias("t"), F.col("v").alias("flux"), (F.col("v") / 8).alias("db"))
+    beats = s.filter("i % 5 = 0").select("series", (F.col("i") * 0.02 + 0.005).alias("beat"))
+    found = song.strengths(levels, beats, "series")
+    return found.select("series", F.round((F.col("beat") - 0.005) / 0.02).cast("long").alias("i"), "strength")
 
 
 @query(f"""with {SERIES}, l as (select a.series, lag, sum(a.v * b.v) as score from (select series, i, v, unnest(range(-5, 6)) as lag from series) a join series b on b.series = a.series and b.i = a.i + a.lag group by all) select series, arg_max(lag, (score, -lag)) as lag, max(score) as score from l group by series""")
@@ -608,7 +629,11 @@ def q_nested_context(spark, d):
     return x.select("scene", "idx", (F.col("p") + 1).cast("long").alias("place"), "q.time", F.col("q.cuteness").alias("cuteness"))
 
 
-@query()
+@query(f"""with recursive {FRAMES}, l as (select episode, t / 1e6 as s, t / 1e6 + 2 as e, tag, row_number() over (partition by episode order by t / 1e6, tag, frame_id::varchar) as k from frames),
+r as (select episode, k, k as pair, s as start, e as "end", [tag] as langs from l where k = 1 union all
+ select l.episode, l.k, case when joins then pair else l.k end, case when joins then r.start else l.s end, case when joins then greatest(r."end", l.e) else l.e end, case when joins then list_append(langs, tag) else [tag] end
+ from r join l on l.episode = r.episode and l.k = r.k + 1 cross join lateral (select l.s - r.start <= 3600 and not list_contains(langs, tag) as joins))
+select episode as song, arg_max(start, k) as start, arg_max("end", k) as "end", arg_max(len(langs), k)::int as langs from r group by episode, pair""")
 def q_lang_pair(spark, d):
     f = frames(spark, d).select(F.col("episode").alias("song"), (F.col("t") / 1e6).alias("start"), (F.col("t") / 1e6 + 2).alias("end"), F.col("tag").alias("lang"), F.col("frame_id").cast("string").alias("text"))
     return speakers.paired(f, tolerance=3600.0).select("song", "start", "end", F.size("texts").alias("langs"))
