@@ -655,7 +655,7 @@ def _bars(spark, d):
     w = Window.partitionBy("episode").orderBy("t", "frame_id")
     loud, start = F.col("score"), F.col("t") / 1e6
     features = F.array(F.col("score"), F.col("cluster_id").cast("double"), (F.col("frame_id") % 10).cast("double"), F.when(F.col("tag") == "view", 1.0).otherwise(0.0))
-    x = f.select(F.col("episode").alias("song"), (F.row_number().over(w) - 1).alias("bar"), start.alias("start"), F.coalesce(F.lead("t").over(w) / 1e6, start + 60).alias("end"), features.alias("features"), (F.col("cluster_id") / 6).alias("vocal"), loud.alias("loudness"))
+    x = f.select(F.col("episode").alias("song"), (F.row_number().over(w) - 1).alias("bar"), start.alias("start"), F.coalesce(F.lead("t").over(w) / 1e6, start + 60).alias("end"), features.alias("features"), (F.col("cluster_id") / 8).alias("vocal"), loud.alias("loudness"))
     return x.withColumn("refrain", F.lit(None).cast("boolean"))
 
 
@@ -673,12 +673,14 @@ def q_refrain_bars(spark, d):
     return song.refrain_bars(bars, lyrics)
 
 
-@query(f"""with {FRAMES}, r as (select episode as song, row_number() over (partition by episode order by t, frame_id) - 1 as bar, score, cluster_id::double as c, (frame_id % 10)::double as m, case when tag = 'view' then 1.0::double else 0.0::double end as v from frames),
+NOVELTY = """r as (select episode as song, row_number() over (partition by episode order by t, frame_id) - 1 as bar, score, cluster_id::double as c, (frame_id % 10)::double as m, case when tag = 'view' then 1.0::double else 0.0::double end as v from frames),
 x as (select song, bar, 0 as p, score as f from r union all select song, bar, 1, c from r union all select song, bar, 2, m from r union all select song, bar, 3, v from r),
 y as (select *, (f - avg(f) over (partition by song, p)) / (stddev_pop(f) over (partition by song, p) + 1e-9) as z0 from x), z as (select *, z0 / (sqrt(sum(z0 * z0) over (partition by song, bar)) + 1e-9) as z from y),
 e as (select *, max(bar) over (partition by song) as last from z), k as (select range as k from range(-4, 4)),
-n as (select e.song, e.bar, e.p, sum(case when k < 0 then -o.z else o.z end) as d from e cross join k join z o on o.song = e.song and o.p = e.p and o.bar = least(greatest(e.bar + k, 0), e.last) group by all)
-select song, bar, round(sum(d * d), 6) as novelty from n group by song, bar""")
+n as (select e.song, e.bar, e.p, sum(case when k < 0 then -o.z else o.z end) as d from e cross join k join z o on o.song = e.song and o.p = e.p and o.bar = least(greatest(e.bar + k, 0), e.last) group by all)"""
+
+
+@query(f"with {FRAMES}, {NOVELTY} select song, bar, round(sum(d * d), 6) as novelty from n group by song, bar")
 def q_novelty(spark, d):
     return song.novelty(_bars(spark, d)).select("song", F.col("bar").cast("long").alias("bar"), F.round("novelty", 6).alias("novelty"))
 
@@ -688,12 +690,34 @@ def _sections(spark, d):
     return song.sections(b.join(song.novelty(b), ["song", "bar"]), vocal_on=0.5)
 
 
-@query()
+SECTIONS = f"""{FRAMES}, {NOVELTY}, bars as (select episode as song, row_number() over o - 1 as bar, t / 1e6 as start, coalesce(lead(t) over o / 1e6, t / 1e6 + 60) as "end", score as loudness, cluster_id / 8.0::double as vocal from frames window o as (partition by episode order by t, frame_id)),
+j as (select *, vocal >= 0.5 as sings, count(*) over s as total, avg(novelty) over s + 0.5::double * stddev_pop(novelty) over s as high from bars join (select song, bar, sum(d * d) as novelty from n group by song, bar) using (song, bar) window s as (partition by song)),
+m as (select song, bar, novelty, total, case when lag(sings) over o <> sings and coalesce(lead(sings) over o = sings, true) then 1 when lag(bar) over o is not null and lead(bar) over o is not null and novelty >= greatest(high, lag(novelty) over o, lead(novelty) over o) then 2 end as trust from j window o as (partition by song order by bar)),
+q as (select song, bar, row_number() over (partition by song order by trust, case when trust = 2 then -novelty else 0 end, bar) as turn from m where trust is not null and total - bar >= 2),
+taken as (select distinct song, 0::bigint as turn, [0::bigint] as cuts from bars union all select q.song, q.turn, case when len(list_filter(cuts, lambda c: abs(c - q.bar) < 4)) > 0 then cuts else list_append(cuts, q.bar) end from taken join q on q.song = taken.song and q.turn = taken.turn + 1),
+part as (select j.*, len(list_filter(cuts, lambda c: c <= j.bar)) - 1 as idx from j join (select song, arg_max(cuts, turn) as cuts from taken group by song) using (song)),
+sec as (select song, idx, min(bar) as first_bar, max(bar) + 1 as end_bar, min(start) as start, max("end") as "end", avg(vocal) as vocal, avg(loudness) as loudness from part group by song, idx),
+norms as (select song, p, avg(f) as mean, stddev_pop(f) + 1e-9 as spread from x group by song, p),
+ways as (select song, idx, list(z order by p) as z from (select song, idx, p, (avg(f) - any_value(mean)) / any_value(spread) as z from x join part using (song, bar) join norms using (song, p) group by song, idx, p) group by song, idx),
+twins as (select a.song, a.idx, min(b.idx) as twin from ways a left join ways b on b.song = a.song and b.idx < a.idx and list_cosine_similarity(a.z, b.z) >= 0.85 group by a.song, a.idx),
+grown as (select distinct song, -1::bigint as idx, []::bigint[] as g from bars union all select t.song, t.idx, list_append(g, coalesce(g[twin + 1], list_max(g) + 1, 0)) from grown join twins t on t.song = grown.song and t.idx = grown.idx + 1),
+h as (select sec.*, g[sec.idx + 1] as grp, vocal >= 0.5 as heard, count(*) over (partition by song) as n from sec join (select song, arg_max(g, idx) as g from grown group by song) using (song)),
+gr as (select song, grp, count(*) filter (heard) as times, avg(loudness) as level, min(idx) filter (heard) as debut from h group by song, grp),
+main as (select song, arg_max(grp, (case when times > 1 then 1 else 0 end, level, -debut)) as main from gr where times > 0 group by song),
+w as (select h.*, times, coalesce(heard and grp = main, false) as is_main, min(idx) filter (heard) over (partition by song) as first, max(idx) filter (heard) over (partition by song) as last from h join gr using (song, grp) left join main using (song)),
+sections as (select song, idx, case when not heard then case when coalesce(idx < first, true) then 'intro' when idx > last then 'outro' else 'interlude' end when is_main then 'chorus' when coalesce(lead(is_main) over (partition by song order by idx), false) and end_bar - first_bar <= 8 then 'pre-chorus'
+ when times = 1 and idx > n // 2 then 'bridge' else 'verse' end as label, grp, first_bar, end_bar, start, "end", vocal, loudness from w)"""
+
+
+@query(f'with recursive {SECTIONS} select song, idx, label, grp, first_bar, end_bar, start, "end", round(vocal, 6) as vocal, round(loudness, 6) as loudness from sections')
 def q_sections(spark, d):
-    return _sections(spark, d)
+    return _sections(spark, d).withColumns({"vocal": F.round("vocal", 6), "loudness": F.round("loudness", 6)})
 
 
-@query()
+@query(f"""with recursive {SECTIONS}, a as (select song, min(start) as lo, max("end") as hi, coalesce(min("end") filter (label = 'chorus'), max("end")) as upto from sections group by song),
+o as (select song, any_value(lo) as lo, any_value(hi) as hi, any_value(upto) as upto, max(start) filter ("end" <= upto) as own from sections join a using (song) group by song),
+f as (select song, any_value(lo) as lo, any_value(hi) as hi, any_value(upto) as upto, coalesce(min(start) filter (upto - start <= 259200 and start <= own), any_value(own)) as since from sections join o using (song) group by song)
+select song, case when any_value(hi - lo) <= 259200 then any_value(lo) else any_value(since) end as start, case when any_value(hi - lo) <= 259200 then any_value(hi) else coalesce(min("end") filter ("end" >= upto and "end" - since >= 86400), any_value(hi)) end as "end" from sections join f using (song) group by song""")
 def q_excerpt(spark, d):
     return song.excerpt(_sections(spark, d), longest=86400.0 * 3, shortest=86400.0)
 
