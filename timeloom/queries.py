@@ -451,7 +451,8 @@ def q_stage_fresh(spark, d):
     return stages.fresh(runs, "scenes", ["cast", "lines"])
 
 
-@query()
+@query(f"""with {FRAMES}, h as (select episode, md5(to_json({{'frame_id': frame_id, 't': t, 'tag': tag}})) as h from frames)
+select episode, count(*) || '-' || sum(('0x' || substr(h, 1, 12))::bigint) || '-' || sum(('0x' || substr(h, 13, 12))::bigint) as stamp from h group by episode""")
 def q_stamp(spark, d):
     return stages.stamps(frames(spark, d), ["episode"], ["frame_id", "t", "tag"])
 
@@ -722,7 +723,19 @@ def q_excerpt(spark, d):
     return song.excerpt(_sections(spark, d), longest=86400.0 * 3, shortest=86400.0)
 
 
-@query()
+@query(f"""with recursive {SECTIONS}, {BEATS}, lines as (select b.episode as song, b.t / 1e6 as bar from b left join ph using (episode) where case when n < 4 then i = 0 else i % 4 = coalesce(phase, 0) end),
+steps as (select song, idx, label, start, "end", level, beats from sections cross join (values (0, 4, 2), (1, 8, 4), (2, 16, 8)) v(level, slow, fast) cross join lateral (select case when label in ('pre-chorus', 'chorus') then fast else slow end as beats) where level = 0 or beats * 0.5 <= 4),
+origin as (select s.*, coalesce(min(bar), any_value(s.start)) as origin from steps s left join lines l on l.song = s.song and bar >= s.start - 1e-6 and bar < s."end" group by all),
+grid as (select o.*, f.t / 1e6 as beat, row_number() over (partition by o.song, o.idx, o.level order by f.t) - 1 as i from origin o join frames f on f.episode = o.song and f.t / 1e6 >= o.origin - 1e-6 and f.t / 1e6 < o."end"),
+marks as (select song, idx, level, start, mark, row_number() over (partition by song, idx, level order by mark) as k from (select song, idx, level, start, beat as mark from grid where i % beats = 0 and beat - start > 1e-6 union select song, idx, level, start, "end" as mark from steps where "end" > start)),
+cut as (select song, idx, level, 0::bigint as k, [start] as bounds from steps union all
+ select c.song, c.idx, c.level, m.k, list_append(case when len(bounds) > 1 and least(mark - bounds[-1], bounds[-1] - bounds[-2]) < 0.5 then bounds[:-2] else bounds end, mark) from cut c join marks m on m.song = c.song and m.idx = c.idx and m.level = c.level and m.k = c.k + 1),
+done as (select song, idx, level, arg_max(bounds, k) as bounds from cut group by all), parts as (select song, idx, label, start, level, beats, bounds, max(level) over (partition by song, idx) as top, list_position(['verse', 'intro', 'interlude', 'outro', 'bridge', 'pre-chorus', 'chorus'], label) as turn from done join steps using (song, idx, level)),
+states as (select 0 as kind, 0 as lift union all select kind, lift from range(1, 8) k(kind) cross join range(1, 3) l(lift)),
+shown as (select *, case when turn < kind then top when turn = kind then least(lift, top) else 0 end as wanted from parts cross join states),
+sums as (select song, kind, lift, sum(len(bounds) - 1) as n from shown where level = wanted group by all), pick as (select song, coalesce(min((kind, lift)) filter (n <= 20), (7, 2)) as s from sums group by song),
+flat as (select song, label, beats, start as s, bounds, unnest(range(1, len(bounds))) as j from shown join pick using (song) where level = wanted and kind = s[1] and lift = s[2])
+select song, row_number() over (partition by song order by s, j) - 1 as slot, bounds[j] as start, bounds[j + 1] as "end", label as section, beats::bigint as beats from flat""")
 def q_slots(spark, d):
     parts = _sections(spark, d).groupBy("song").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("p")).select("song", F.transform("p", lambda x: F.struct(x["label"].alias("label"), x["start"].alias("start"), x["end"].alias("end"))).alias("sections"))
     f = frames(spark, d).groupBy(F.col("episode").alias("song")).agg(F.array_sort(F.collect_list(F.col("t") / 1e6)).alias("beats"))
@@ -730,15 +743,29 @@ def q_slots(spark, d):
     return song.slots(parts.join(f, "song").join(bars, "song").withColumn("bpm", F.lit(120.0)), budget=20)
 
 
-@query()
+@query(f"""with {FRAMES}, f as (select *, (t - 1704067200000000) // {6 * HOUR} as i from frames), sp as (select episode, i, max(score) / 500 as p from f group by all), sh as (select distinct episode, i from f where tag = 'view'),
+b as (select sp.episode, sp.i, p - avg(p) over (partition by sp.episode) as p, case when sh.i is null then 0.0 else 1.0 end::double - avg(case when sh.i is null then 0.0 else 1.0 end::double) over (partition by sp.episode) as m from sp left join sh on sh.episode = sp.episode and sh.i = sp.i),
+z as (select episode, sqrt(sum(m * m) * sum(p * p)) as norm from b group by episode),
+c as (select a.episode, lag, sum(a.m * b.p) / case when any_value(norm) > 0 then any_value(norm) else 1 end as c from (select *, unnest(range(-6, 7)) as lag from b) a join b on b.episode = a.episode and b.i = a.i + a.lag join z on z.episode = a.episode group by a.episode, lag),
+n as (select *, lag(c) over o as l, lead(c) over o as r from c window o as (partition by episode order by lag)),
+t as (select episode, arg_max({{'c': c, 'lag': lag, 'l': l, 'r': r}}, (c, -lag)) as t from n group by episode),
+o as (select episode, t.c as c, (t.lag + case when t.l - 2 * t.c + t.r < 0 then 0.5::double * (t.l - t.r) / (t.l - 2 * t.c + t.r) else 0 end) * 0.032::double as o from t)
+select episode, round(o, 6) as "offset", round(c, 6) as correlation, 0.0::double as sharpness, false as applied from o""")
 def q_subtitle_timing(spark, d):
     f = frames(spark, d).withColumn("i", F.floor((F.col("t") - 1704067200000000) / (6 * HOUR)).cast("int"))
     speech = f.groupBy("episode", "i").agg((F.max("score") / 500).alias("p"))
     shown = f.filter("tag = 'view'").select("episode", (F.col("i") * 0.032).alias("start"), (F.col("i") * 0.032 + 0.03).alias("end"))
-    return song.timing(shown, speech, reach=0.2)
+    return song.timing(shown, speech, reach=0.2).withColumns({c: F.round(c, 6) for c in ("offset", "correlation", "sharpness")})
 
 
-@query()
+@query(f"""with free as ({ORACLES["q_interval_gaps"]}), fr as (with {FRAMES} select * from frames), sh as (with {SHOTS} select * from shots),
+g as (select episode, start / 1e6 as gs, "end" / 1e6 as ge, "end" / 1e6 - start / 1e6 - 2 * 0.3::double as room, row_number() over (partition by episode order by case when start = lo then 0 else 1 end, start / 1e6 - "end" / 1e6, start) as turn from free join (select episode, min(t) as lo from fr group by episode) using (episode)),
+l as (select episode, frame_id as line, t / 1e6 as s, (t + cast(floor(score * 6e7) as bigint)) / 1e6 as e from fr where tag = 'view'),
+shown as (select g.episode, turn, idx % 50 as shot from g join sh on sh.episode = g.episode and sh.start / 1e6 < ge and gs < sh."end" / 1e6 group by all),
+x as (select g.*, line, s, e, case when shot is null then 0 else 2 end + 1.0::double - abs(e - s - least(2.5::double, room)) / 2 as score from g join l using (episode) left join shown on shown.episode = g.episode and shown.turn = g.turn and shot = line % 50 where e - s >= 0.6 and e - s <= room),
+k as (select *, row_number() over (partition by episode, turn order by score desc, line) as rank from x),
+b as (select episode, arg_min({{'line': line, 'gs': gs, 's': s, 'e': e}}, (turn, rank)) as b from k where rank <= 8 and e - s <= room group by episode)
+select episode as plan, b.line as line, round_even(b.gs + 0.3::double, 3) as at, round_even(b.s, 3) as "in", round_even(b.e, 3) as "out" from b""")
 def q_gap_pick(spark, d):
     bounds = frames(spark, d).groupBy("episode").agg(F.min("t").alias("lo"), (F.max("t") + HOUR).alias("hi"))
     free = iv.complement(q_interval_merge(spark, d), bounds, ["episode"], "start", "end", HOUR)
@@ -749,7 +776,9 @@ def q_gap_pick(spark, d):
     return plans.pick_voice(gaps, li, slots)
 
 
-@query()
+@query(f"""with recursive {PLACED}, l as (select episode * 1000 + idx as shot_id, cluster_id as f, cluster_id % 6 + 1 as t, row_number() over (partition by episode, idx order by frame_id) as k from placed where cluster_id > 0),
+r as (select shot_id, k, [{{'f': f, 't': t}}] as kept from l where k = 1 union all select l.shot_id, l.k, list_append(list_filter(list_transform(kept, lambda x: {{'f': x.f, 't': case when x.t = l.f then l.t else x.t end}}), lambda x: x.f <> x.t and x.f <> l.f), {{'f': l.f, 't': l.t}}) from r join l on l.shot_id = r.shot_id and l.k = r.k + 1)
+select shot_id, x.f as from_cluster, x.t as to_cluster from (select shot_id, unnest(arg_max(kept, k)) as x from r group by shot_id)""")
 def q_fold_fixes(spark, d):
     f = placed(spark, d).filter("cluster_id > 0")
     return overrides.fold_fixes(f.select(F.col("frame_id").alias("seq"), (F.col("episode") * 1000 + F.col("idx")).alias("shot_id"), F.col("cluster_id").alias("from_cluster"), (F.col("cluster_id") % 6 + 1).alias("to_cluster")))
