@@ -56,3 +56,15 @@ def test_knn_vote_has_all_rows_on_both_sides(spark, duck):
     want = sorted(duck.execute(queries.ORACLES["q_knn_vote"]).fetchall())
     assert any(k % 4 for k, _ in want)
     assert sorted(map(tuple, queries.q_knn_vote(spark, SMALL).collect())) == want
+
+
+CHAIN = ["q_bar_phase_mode", "q_sync_best", "q_lyric_end", "q_greedy_assign", "q_nms", "q_lang_pair", "q_sections", "q_excerpt", "q_slots", "q_fold_fixes", "q_subtitle_timing", "q_gap_pick", "q_stamp"]
+
+
+@pytest.mark.parametrize("name", CHAIN)
+def test_choices_in_order_equal_recursive_sql(spark, duck, name):
+    answer = duck.execute(queries.ORACLES[name])
+    columns = sorted(c[0] for c in answer.description)
+    want = answer.fetchdf()[columns]
+    got = queries.QUERIES[name](spark, SMALL).toPandas()[columns]
+    assert len(want) and sorted(map(repr, got.astype(str).values.tolist())) == sorted(map(repr, want.astype(str).values.tolist()))

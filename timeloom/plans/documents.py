@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, LongType, StringType, StructType
 
 from ..functions.scalars import good_name
 
@@ -15,6 +18,21 @@ PLAN = f"schema long, name string, series string, character string, song string,
 
 
 
+def shape() -> str:
+    """The JSON Schema of plan documents, from the fields that read() takes."""
+    names = {StringType: "string", LongType: "integer", DoubleType: "number"}
+
+    def of(t: DataType) -> dict:
+        if isinstance(t, ArrayType):
+            return {"type": "array", "items": of(t.elementType)}
+        if isinstance(t, StructType):
+            return {"type": "object", "properties": {f.name: of(f.dataType) for f in t.fields}}
+        return {"type": names.get(type(t), "boolean")}
+
+    required = {"required": ["schema", "name", "song", "fps", "slots"]}
+    return json.dumps({"$schema": "https://json-schema.org/draft/2020-12/schema", **of(StructType.fromDDL(PLAN)), **required})
+
+
 def read(df: DataFrame, text: str = "value") -> DataFrame:
     """df with ``plan`` (a struct, null if the text is no JSON object) and ``problems`` (array of texts, empty if there are none).
 

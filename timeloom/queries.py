@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import scalars
+from . import schema
+from .functions import scalars, sound
 from .operators import intervals as iv
 from .operators import library as lib
 from .operators import overrides, speakers, stages
@@ -790,3 +791,47 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     cast = named.groupBy("episode", "idx").agg(F.array_sort(F.collect_list(F.struct("rank", "name", "presence"))).alias("cast"))
     spoken = q_overlap_join(spark, d).groupBy("episode", "idx").agg(F.count("*").alias("lines"))
     return shots(spark, d).join(cast, ["episode", "idx"], "left").join(spoken, ["episode", "idx"], "left")
+
+
+@query(f"""with {SERIES}, x as (select series, i, v / 50 - 0.5::double as v from series), h as (select series, i // 4 as h, avg(v * v) as p, count(*) as n from x group by all),
+d as (select *, case when n = 4 then 20 * log10(sqrt(p) + 1e-12::double) end as db from h), t as (select *, max(db) over (partition by series) as top from d)
+select series, round(coalesce(20 * log10(sqrt(avg(p) filter (db >= top - 25)) + 1e-12::double), -120), 6) as level from t group by series""")
+def q_levels(spark, d):
+    samples = series(spark, d).withColumn("v", F.col("v") / 50 - 0.5)
+    return sound.levels(samples, ["series"], 200).select("series", F.round("level", 6).alias("level"))
+
+
+@query(f"""with {SERIES}, n as (select series, max(i) + 1 as n from series group by series), spans as (select series, (series % 7) / 10.0::double as s, (series % 7) / 10.0::double + 0.5 as e, 9.0::double as depth from n union all select series, 0.8, 1.1, 12.0 from n),
+r as (select series, depth, round(s * 200)::bigint as a, round(e * 200)::bigint as b from spans),
+c as (select x.series, x.i, max(depth * case when i < a then 0.5::double - 0.5::double * cos(pi() * (i - a + 30) / 29) when i >= b then 0.5::double - 0.5::double * cos(pi() * (b + 79 - i) / 79) else 1.0 end) as db from series x join r on r.series = x.series and i >= a - 30 and i < b + 80 group by all)
+select x.series, x.i, round(v * case when x.i < least(10, n) then 0.5::double - 0.5::double * cos(pi() * x.i / (least(10, n) - 1)) else 1 end * case when x.i >= n - least(100, n) then 0.5::double - 0.5::double * cos(pi() * (n - 1 - x.i) / (least(100, n) - 1)) else 1 end * power(10.0::double, -coalesce(db, 0) / 20), 6) as v from series x join n using (series) left join c on c.series = x.series and c.i = x.i""")
+def q_ducked(spark, d):
+    samples = series(spark, d)
+    songs = samples.select("series").distinct()
+    spans = songs.select("series", (F.col("series") % 7 / 10).alias("start"), (F.col("series") % 7 / 10 + 0.5).alias("end"), F.lit(9.0).alias("depth")).unionByName(songs.select("series", F.lit(0.8).alias("start"), F.lit(1.1).alias("end"), F.lit(12.0).alias("depth")))
+    return sound.under(sound.faded(samples, ["series"], 200, 0.05, 0.5), spans, ["series"], 200).select("series", "i", F.round("v", 6).alias("v"))
+
+
+@query("""with p as (select vec_id // 100 as film, vec_id as i, list_transform(embedding, lambda v: floor(abs(v::double) * 500)) as p from embeddings), q as (select *, coalesce(lag(p) over (partition by film order by i), p) as b from p),
+e as (select film, i, unnest(p) as x, unnest(b) as y from q) select film, i, round(avg(abs(x - y) / 255), 6) as mean, round(avg(case when abs(x - y) / 255 > 0.04::double then 1.0 else 0.0 end::double), 6) as changed from e group by film, i""")
+def q_picture_changes(spark, d):
+    pictures = _table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("film"), F.col("vec_id").alias("i"), F.transform("embedding", lambda v: F.floor(F.abs(v.cast("double")) * 500)).alias("pixels"))
+    return sound.differences(pictures, ["film"]).select("film", "i", F.round("mean", 6).alias("mean"), F.round("changed", 6).alias("changed"))
+
+
+@query("""with e as (select event_id as id, user_id as ep, event_type as ty from events), clusters as (select id, 'c' || id % 9 as name from e where id < 40), scenes as (select id, ep, id % 20 as idx from e),
+fixes as (select id as shot_id, id % 50 as a, nullif(id % 3, 0) as b from e where ty = 'signup'), runs as (select id % 200 as ep, ty as stage from e where ty = 'error' group by all)
+select * from (select 'clusters' as "table", 'unique name' as rule, count(*) as rows from (select name from clusters group by name having count(*) > 1) union all select 'scenes', 'unique episode_id,idx', count(*) from (select ep, idx from scenes group by all having count(*) > 1)
+union all select 'scenes', 'episode_id in episodes', count(*) from scenes where ep not in (select ep from e where ep % 10 <> 0) union all select 'stage_runs', 'episode_id in episodes', count(*) from runs where ep not in (select ep from e where ep % 10 <> 0)
+union all select 'cast_fixes', 'from_cluster in clusters', count(*) from fixes where a not in (select id from clusters) union all select 'cast_fixes', 'to_cluster in clusters', count(*) from fixes where b is not null and b not in (select id from clusters)
+union all select 'cast_fixes', 'moves', count(*) from fixes where a = b) where rows > 0""")
+def q_violations(spark, d):
+    e = _table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("ep"), F.col("event_type").alias("ty"))
+    tables = {
+        "episodes": e.filter("ep % 10 <> 0").select(F.col("ep").alias("id")).distinct().withColumn("path", F.col("id").cast("string")),
+        "clusters": e.filter("id < 40").select("id", F.concat(F.lit("c"), (F.col("id") % 9).cast("string")).alias("name")),
+        "scenes": e.select("id", F.col("ep").alias("episode_id"), (F.col("id") % 20).alias("idx")),
+        "cast_fixes": e.filter("ty = 'signup'").select(F.col("id").alias("shot_id"), (F.col("id") % 50).alias("from_cluster"), F.nullif(F.col("id") % 3, F.lit(0)).alias("to_cluster")),
+        "stage_runs": e.filter("ty = 'error'").select((F.col("id") % 200).alias("episode_id"), F.col("ty").alias("stage")).distinct(),
+    }
+    return schema.violations({name: schema.conform(df, name) for name, df in tables.items()})

@@ -33,11 +33,11 @@ TABLES = {
     "transcripts": "line_id long, model string, text string",
     "voice_styles": "speaker_id long, style string, line_id long",
 }
-#: Unique keys; rows that share one break the table.
+#: Unique keys; rows that share one break the table, but for nulls, which differ from all.
 KEYS = {
     "episodes": [["id"], ["path"]], "stage_runs": [["episode_id", "stage"]], "shots": [["id"], ["episode_id", "idx"]], "frames": [["id"], ["shot_id", "frame_index"]],
-    "frame_tags": [["frame_id", "tag"]], "clusters": [["id"]], "faces": [["id"]], "lines": [["id"]], "episode_parts": [["episode_id", "kind"]], "scenes": [["id"]],
-    "scene_shots": [["shot_id"]], "cast_fixes": [["shot_id", "from_cluster"]], "speakers": [["id"]], "line_voices": [["line_id"]], "speaker_fixes": [["line_id"]],
+    "frame_tags": [["frame_id", "tag"]], "clusters": [["id"], ["name"]], "faces": [["id"]], "lines": [["id"]], "episode_parts": [["episode_id", "kind"]], "scenes": [["id"], ["episode_id", "idx"]],
+    "scene_shots": [["shot_id"]], "cast_fixes": [["shot_id", "from_cluster"]], "speakers": [["id"], ["name"]], "line_voices": [["line_id"]], "speaker_fixes": [["line_id"]],
     "transcripts": [["line_id"]], "voice_styles": [["speaker_id", "style"]],
 }
 #: Conditions that every row keeps.
@@ -54,6 +54,8 @@ REFERENCES = (
     ("shots", "episode_id", "episodes"), ("frames", "shot_id", "shots"), ("frame_tags", "frame_id", "frames"), ("faces", "frame_id", "frames"), ("faces", "cluster_id", "clusters"),
     ("lines", "episode_id", "episodes"), ("scenes", "episode_id", "episodes"), ("scene_shots", "scene_id", "scenes"), ("scene_shots", "shot_id", "shots"),
     ("cast_fixes", "shot_id", "shots"), ("line_voices", "line_id", "lines"), ("line_voices", "speaker_id", "speakers"),
+    ("stage_runs", "episode_id", "episodes"), ("episode_parts", "episode_id", "episodes"), ("cast_fixes", "from_cluster", "clusters"), ("cast_fixes", "to_cluster", "clusters"),
+    ("speaker_fixes", "line_id", "lines"), ("speaker_fixes", "speaker_id", "speakers"), ("transcripts", "line_id", "lines"), ("voice_styles", "speaker_id", "speakers"), ("voice_styles", "line_id", "lines"),
 )
 
 
@@ -73,7 +75,7 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
     tell = lambda df, table, rule: found.append(df.agg(F.count("*").alias("rows")).filter("rows > 0").select(F.lit(table).alias("table"), F.lit(rule).alias("rule"), "rows"))
     for name, df in tables.items():
         for key in KEYS[name]:
-            tell(df.groupBy(*key).count().filter("count > 1"), name, "unique " + ",".join(key))
+            tell(df.dropna(subset=key).groupBy(*key).count().filter("count > 1"), name, "unique " + ",".join(key))
         for rule, condition in CHECKS.get(name, []):
             tell(df.filter(f"not coalesce({condition}, false)"), name, rule)
     for name, column, parent in REFERENCES:
