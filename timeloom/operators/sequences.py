@@ -32,16 +32,19 @@ def capped_sessions(df: DataFrame, keys: Sequence[str], start: str, end: str, ga
     runs = sessions(df, keys, start, gap, tie, "run")
     runs = runs.groupBy(*keys, "run").agg(F.sort_array(F.collect_list(F.struct(F.col(start).alias("s"), F.col(tie).alias("t"), F.col(end).alias("e")))).alias("_rows"))
     kind = dict(df.dtypes)[start]
-    first = F.array().cast(f"array<struct<s:{kind},e:{kind},n:bigint>>")
+    scene = f"struct<s:{kind},e:{kind},n:bigint>"
+    # the scene that is open stands beside those that are done, so a row that joins it copies no array
+    first = F.struct(F.array().cast(f"array<{scene}>").alias("done"), F.lit(None).cast(scene).alias("open"))
 
     def step(acc: Column, row: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (row["e"] - F.try_element_at(acc, F.lit(-1))["s"] <= cap)
-        grown = F.struct(last["s"].alias("s"), F.greatest(last["e"], row["e"]).alias("e"), (last["n"] + 1).alias("n"))
+        open_ = acc["open"]
+        joins = F.coalesce(row["e"] - open_["s"] <= cap, F.lit(False))
+        grown = F.struct(open_["s"].alias("s"), F.greatest(open_["e"], row["e"]).alias("e"), (open_["n"] + 1).alias("n"))
         fresh = F.struct(row["s"].alias("s"), row["e"].alias("e"), F.lit(1).cast("bigint").alias("n"))
-        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(fresh)))
+        done = F.when(joins | open_.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(open_)))
+        return F.struct(done.alias("done"), F.when(joins, grown).otherwise(fresh).alias("open"))
 
-    x = runs.withColumn("_scenes", F.aggregate("_rows", first, step))
+    x = runs.withColumn("_scenes", F.aggregate("_rows", first, step, lambda acc: F.concat(acc["done"], F.array(acc["open"]))))
     x = x.select(*keys, "run", F.posexplode("_scenes").alias("_i", "_s"))
     return x.select(*keys, "run", (F.col("_i") + 1).alias("scene"), F.col("_s.s").alias(start), F.col("_s.e").alias(end), F.col("_s.n").alias("n"))
 

@@ -77,14 +77,17 @@ def paired(lines: DataFrame, song: str = "song", tolerance: float = 0.3) -> Data
     x = lines.withColumn("_new", (F.coalesce(F.col("start") - F.lag("start").over(w) > tolerance, F.lit(True))).cast("int"))
     x = x.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     runs = x.groupBy(song, "_run").agg(F.sort_array(F.collect_list(F.struct("start", "lang", "text", "end"))).alias("_rows"))
-    first = F.array().cast("array<struct<start:double,end:double,texts:map<string,string>>>")
+    pair = "struct<start:double,end:double,texts:map<string,string>>"
+    # the pair that is open stands beside those that are done, so a line that joins it copies no array
+    first = F.struct(F.array().cast(f"array<{pair}>").alias("done"), F.lit(None).cast(pair).alias("open"))
 
     def step(acc: Column, r: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joins = (F.size(acc) > 0) & (r["start"] - last["start"] <= tolerance) & ~F.map_contains_key(last["texts"], r["lang"])
-        own = F.create_map(r["lang"], r["text"])
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"), F.map_concat(last["texts"], own).alias("texts"))
+        open_, own = acc["open"], F.create_map(r["lang"], r["text"])
+        joins = F.coalesce((r["start"] - open_["start"] <= tolerance) & ~F.map_contains_key(open_["texts"], r["lang"]), F.lit(False))
+        grown = F.struct(open_["start"].alias("start"), F.greatest(open_["end"], r["end"]).alias("end"), F.map_concat(open_["texts"], own).alias("texts"))
         fresh = F.struct(r["start"].alias("start"), r["end"].alias("end"), own.alias("texts"))
-        return F.when(F.coalesce(joins, F.lit(False)), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(fresh)))
+        done = F.when(joins | open_.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(open_)))
+        return F.struct(done.alias("done"), F.when(joins, grown).otherwise(fresh).alias("open"))
 
-    return runs.select(song, "_run", F.posexplode(F.aggregate("_rows", first, step)).alias("pair", "_p")).select(song, F.col("_run").alias("run"), "pair", "_p.*")
+    all_ = lambda acc: F.concat(acc["done"], F.array(acc["open"]))
+    return runs.select(song, "_run", F.posexplode(F.aggregate("_rows", first, step, all_)).alias("pair", "_p")).select(song, F.col("_run").alias("run"), "pair", "_p.*")
