@@ -223,3 +223,17 @@ def test_scalars(spark):
     assert one(scalars.song_id(F.lit("My Song! (2024)"))).startswith("my-song-2024-")
     assert one(iv.frame_floor(F.lit(1.0 - 1e-5), 24)) == 1.0 and one(iv.seconds(F.lit(1001), F.lit(24000), F.lit(1001))) == pytest.approx(1001 * 1001 / 24000)
     assert datetime.timedelta(seconds=one(iv.frame_ceil(F.lit(0.9), 24))) == datetime.timedelta(seconds=22 / 24)
+
+
+def test_nearest_takes_linear_time_and_is_dealt_by_time(spark):
+    points = spark.createDataFrame([("k", None if i % 50 == 7 else i * 37 % 1000 / 7) for i in range(300)] + [("z", 1.0)], "k string, t double")
+    grid = spark.createDataFrame([("k", g * g / 5) for g in range(4, 28)] + [("other", 3.0)], "k string, g double")
+    whole = iv.nearest(points, grid, ["k"], "t", "g")
+    # a frame up to the end of its key is gone through anew for each row
+    assert "unboundedfollowing" not in whole._jdf.queryExecution().toString().lower()
+    marks = [g * g / 5 for g in range(4, 28)]
+    want = sorted((t, min(marks, key=lambda g: (abs(g - t), g))) for t in (i * 37 % 1000 / 7 for i in range(300) if i % 50 != 7))
+    for df in (whole, *(iv.nearest(points, grid, ["k"], "t", "g", width=w) for w in (0.5, 10.0, 1000.0))):
+        assert df.columns == ["k", "t", "nearest"]
+        assert sorted(tuple(r) for r in df.filter("k = 'k' and t is not null").select("t", "nearest").collect()) == want
+        assert df.filter("t is null and nearest is not null").count() == 6 and df.filter("k = 'z' and nearest is null").count() == 1

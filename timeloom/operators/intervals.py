@@ -104,17 +104,27 @@ def complement(df: DataFrame, bounds: DataFrame, keys: Sequence[str], start: str
     return x.filter((F.col("_real") > 0) & (F.col(start) - F.col("_from") >= shortest) & (F.col(start) > F.col("_from"))).select(*keys, F.col("_from").alias(start), F.col(start).alias(end), F.col("_place").alias("place"))
 
 
-def nearest(points: DataFrame, grid: DataFrame, keys: Sequence[str], at: str, value: str, name: str = "nearest") -> DataFrame:
+def nearest(points: DataFrame, grid: DataFrame, keys: Sequence[str], at: str, value: str, name: str = "nearest", width: float | None = None) -> DataFrame:
     """points with the grid value nearest to ``at``, the earlier one on a tie; null without a grid.
 
-    One sort of both sides by key and time; the values before and behind are carried along.
+    Two sorts of both sides by key and time, forth and back: the last value of each is carried along, so a key takes linear time.
+    width: of a time bucket, for keys of more rows than a task should hold; buckets then know the values around them by a row each.
     """
     both = points.withColumns({"_t": F.col(at), "_g": F.lit(None).cast(dict(grid.dtypes)[value])})
     marks = grid.select(*keys, F.col(value).alias("_t"), F.col(value).alias("_g"))
     both = both.withColumn("_point", F.lit(True)).unionByName(marks, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_t")
-    before = F.last("_g", True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    behind = F.first("_g", True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    own = list(keys)
+    if width:
+        both, own = both.withColumn("_w", F.coalesce(_bucket(F.col("_t"), width), F.lit(-(1 << 62)))), [*keys, "_w"]
+        sides = Window.partitionBy(*keys).orderBy("_w"), Window.partitionBy(*keys).orderBy(F.desc("_w"))
+        earlier, later = (F.last(c, True).over(o.rowsBetween(Window.unboundedPreceding, -1)) for c, o in zip(("_most", "_least"), sides))
+        ends = both.groupBy(*own).agg(F.min("_g").alias("_least"), F.max("_g").alias("_most")).select(*own, earlier.alias("_earlier"), later.alias("_later"))
+        both = both.join(ends, own)
+    w = Window.partitionBy(*own)
+    last = lambda order: F.last("_g", True).over(w.orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    before, behind = last(F.asc("_t")), last(F.desc("_t"))
+    if width:
+        before, behind = F.coalesce(before, "_earlier"), F.coalesce(behind, "_later")
     x = both.withColumns({"_b": before, "_a": behind}).filter("_point")
     pick = F.when(F.col("_b").isNull(), F.col("_a")).when(F.col("_a").isNull(), F.col("_b")).when(F.col("_a") - F.col(at) < F.col(at) - F.col("_b"), F.col("_a")).otherwise(F.col("_b"))
-    return x.withColumn(name, pick).drop("_t", "_g", "_point", "_b", "_a")
+    return x.withColumn(name, pick).drop("_t", "_g", "_point", "_b", "_a", "_w", "_earlier", "_later")
