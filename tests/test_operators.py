@@ -1,5 +1,6 @@
 import datetime
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -237,3 +238,50 @@ def test_nearest_takes_linear_time_and_is_dealt_by_time(spark):
         assert df.columns == ["k", "t", "nearest"]
         assert sorted(tuple(r) for r in df.filter("k = 'k' and t is not null").select("t", "nearest").collect()) == want
         assert df.filter("t is null and nearest is not null").count() == 6 and df.filter("k = 'z' and nearest is null").count() == 1
+
+
+def test_vectors_are_clustered_without_their_square(spark):
+    rng = np.random.default_rng(5)
+    e = rng.normal(size=(40, 8))[rng.integers(0, 40, 700)] + rng.normal(size=(700, 8)) * 0.3
+    e[600:650] = e[3]
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    for threshold in (0.05, 0.3, 0.8):
+        assert (vec.vector_linkage(e, threshold) == vec.average_linkage(np.clip(1 - e @ e.T, 0, 2), threshold)).all()
+    many = rng.normal(size=(4000, 8))
+    many /= np.linalg.norm(many, axis=1, keepdims=True)
+    tracemalloc.start()
+    vec.vector_linkage(many, 0.1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # all distances are 128 MB
+    assert peak < 40e6
+
+
+def test_blocks_of_vectors_meet_some_rows_at_a_time(spark):
+    rng = np.random.default_rng(6)
+    e = rng.normal(size=(900, 6)).astype(np.float32)
+    e[::9] = e[0]
+    df = spark.createDataFrame([(i, v.tolist(), i % 4) for i, v in enumerate(e)], "id long, embedding array<float>, owner long")
+    u = e.astype(np.float64) / np.linalg.norm(e.astype(np.float64), axis=1, keepdims=True)
+    d = 1 - u @ u.T
+    assert (np.abs(d - 0.3) > 1e-9).all()
+    for blocks in (1, 3, None):
+        assert {(r["a"], r["b"]) for r in vec.close_pairs(df, 0.3, blocks).select("a", "b").collect()} == set(zip(*map(np.ndarray.tolist, np.nonzero(np.triu(d <= 0.3, 1)))))
+    one, off = e[np.arange(900) % 9 != 0], np.flatnonzero(np.arange(900) % 9)
+    d = d[np.ix_(off, off)]
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1)[:, :3]
+    want = {(int(off[i]), int(off[near[i, 0]] % 4)) for i in range(len(one)) if len({int(off[j] % 4) for j in near[i]}) == 1 and d[i, near[i]].mean() <= 0.9}
+    placed = df.filter("id % 9 <> 0")
+    assert want and all({tuple(r) for r in vec.knn_vote(placed, placed, 3, 0.9, blocks).collect()} == want for blocks in (1, 3))
+    assert vec._blocks(spark.range(10)) == 1 and vec._blocks(spark.range(5000)) == 4 and vec._blocks(spark.range(200_000)) == 13
+
+
+def test_near_values_come_once_and_chance_meetings_are_rare(spark):
+    rng = np.random.default_rng(7)
+    base = [int(v) for v in rng.integers(-(2**63), 2**63 - 1, 30)]
+    values = {v ^ sum(1 << int(b) for b in rng.choice(63, n, replace=False)) for v in base for n in range(11)} | set(base)
+    df = spark.createDataFrame([(v,) for v in [*values, *base, None]], "v long")
+    got = [tuple(r) for r in vec.near_values(df, "v", 8).collect()]
+    want = {(a, b) for a in values for b in values if ((a ^ b) & (2**64 - 1)).bit_count() <= 8}
+    assert len(got) == len(set(got)) and set(got) == want

@@ -32,27 +32,37 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def near_hashes(df: DataFrame, key: str, value: str, owner: str, most: int = 8) -> DataFrame:
-    """Pairs (a, b, distance) of rows of different owners whose 64-bit values differ in at most ``most`` bits; a < b by key.
+def near_values(values: DataFrame, value: str, most: int = 8) -> DataFrame:
+    """Pairs (va, vb), in both orders and with itself, of the distinct 64-bit values that differ in at most ``most`` bits.
 
-    In one of most // 2 + 1 bands of bits such values differ in at most one bit, so each value is looked up by its bands, and by
-    them with one bit turned. Only distinct values are searched, so frequent ones do not multiply; a pair counts in the first
-    band that it is near in.
+    In one of most // 3 + 1 bands of bits such values differ in at most two bits, so each value stands under its bands as they are
+    and with one bit turned, and two values meet there. A pair counts in the first band that it is near in, and there once: where
+    the left one has fewer bits turned, or the earlier of two. Bands of 21 bits keep chance meetings rare up to millions of values.
     """
-    bands = most // 2 + 1
+    bands = most // 3 + 1
     edges = [64 * i // bands for i in range(bands + 1)]
     part = lambda v, i: F.shiftrightunsigned(v, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
-    distinct = df.select(F.col(value).alias("v")).distinct()
-    place = lambda i, p: F.struct(F.lit(i).alias("i"), p.alias("p"))
-    exact = [place(i, part(F.col("v"), i)) for i in range(bands)]
-    turned = [place(i, part(F.col("v"), i).bitwiseXOR(F.lit(1 << j))) for i in range(bands) for j in range(edges[i + 1] - edges[i])]
-    keyed = lambda keys, name: distinct.select(F.col("v").alias(name), F.explode(F.array(*keys)).alias("k")).select(name, "k.i", "k.p")
-    far = lambda i: F.bit_count(part(F.col("va"), i).bitwiseXOR(part(F.col("vb"), i))) > 1
+    distinct = values.select(F.col(value).alias("v")).filter("v is not null").distinct()
+    place = lambda i, t: F.struct(F.lit(i).alias("i"), (part(F.col("v"), i) if t < 0 else part(F.col("v"), i).bitwiseXOR(F.lit(1 << t))).alias("p"), F.lit(t).alias("t"))
+    keys = F.array(*[place(i, t) for i in range(bands) for t in range(-1, edges[i + 1] - edges[i])])
+    keyed = lambda v, t: distinct.select(F.col("v").alias(v), F.explode(keys).alias("k")).select(v, "k.i", "k.p", F.col("k.t").alias(t))
+    far = lambda i: F.bit_count(part(F.col("va"), i).bitwiseXOR(part(F.col("vb"), i))) > 2
     earlier = [~(F.col("i") > i) | far(i) for i in range(bands - 1)]
-    near = keyed(exact, "va").join(keyed([*exact, *turned], "vb"), ["i", "p"]).filter(hamming(F.col("va"), F.col("vb")) <= most).filter(reduce(Column.__and__, earlier, F.lit(True)))
+    once = F.expr("ta < tb or (ta = -1 and tb = -1)")
+    met = keyed("va", "ta").join(keyed("vb", "tb"), ["i", "p"]).filter(once & (F.col("va") < F.col("vb")) & (hamming(F.col("va"), F.col("vb")) <= most))
+    # one row a pair, read in both orders: kept, so that the search runs once
+    near = met.filter(reduce(Column.__and__, earlier, F.lit(True))).select("va", "vb").persist()
+    return near.unionByName(near.select(F.col("vb").alias("va"), F.col("va").alias("vb"))).unionByName(distinct.select(F.col("v").alias("va"), F.col("v").alias("vb")))
+
+
+def near_hashes(df: DataFrame, key: str, value: str, owner: str, most: int = 8) -> DataFrame:
+    """Pairs (a, b, distance) of rows of different owners whose 64-bit values differ in at most ``most`` bits; a < b by key.
+
+    Only distinct values are searched (near_values), so frequent ones do not multiply the search.
+    """
     left = df.select(F.col(key).alias("a"), F.col(value).alias("va"), F.col(owner).alias("oa"))
     right = df.select(F.col(key).alias("b"), F.col(value).alias("vb"), F.col(owner).alias("ob"))
-    out = near.select("va", "vb").join(left, "va").join(right, "vb").filter("a < b and oa <> ob")
+    out = near_values(df, value, most).join(left, "va").join(right, "vb").filter("a < b and oa <> ob")
     return out.select("a", "b", hamming(F.col("va"), F.col("vb")).cast("int").alias("distance"))
 
 
@@ -69,16 +79,32 @@ def recurring(frames: DataFrame, most: int = 8, flat: float = 0.04, share: float
     return per.filter(F.col("share") >= share)
 
 
-def _blocks(*dfs: DataFrame, most: int = 4096) -> int:
-    """Into how many blocks the largest of the tables falls if a block holds ``most`` rows: a counted size, not a constant."""
-    return max(1, *[-(-df.count() // most) for df in dfs])
+def _blocks(*dfs: DataFrame, most: int = 16384, few: int = 1024) -> int:
+    """Into how many blocks the largest of the tables falls if a block holds ``most`` rows, and up to eight if it has ``few`` each:
+    a counted size, not a constant."""
+    return max(1, *[max(-(-n // most), min(8, n // few)) for n in (df.count() for df in dfs)])
+
+
+#: Rows of a block that meet the other block at once, and by how much a product of unit vectors in single precision may be off.
+_TILE, _OFF = 256, 1e-4
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    e = np.stack(vectors).astype(np.float64)
+    return e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-9)
+
+
+def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosine distances of unit vectors, row by row."""
+    return 1 - np.einsum("ij,ij->i", x, y)
 
 
 def knn_vote(rows: DataFrame, placed: DataFrame, k: int = 3, far: float = 0.6, blocks: int | None = None) -> DataFrame:
     """id, owner: rows whose k nearest placed rows all have one owner and lie at a mean distance of at most ``far``.
 
-    rows: id, embedding. placed: id, embedding, owner. Each block of placed rows meets each block of rows as matrices and
-    yields k candidates for a row, so a row sends blocks * k candidates on, however many are placed.
+    rows: id, embedding. placed: id, embedding, owner. Each block of placed rows meets each block of rows as matrices, some rows at
+    a time, and yields k candidates for a row, so a row sends blocks * k candidates on, however many are placed. Products in single
+    precision only leave out what cannot be among the k; the rest is compared in double precision.
     """
     blocks = blocks or _blocks(rows, placed)
     deal = lambda df: df.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
@@ -90,14 +116,25 @@ def knn_vote(rows: DataFrame, placed: DataFrame, k: int = 3, far: float = 0.6, b
     def nearest(_, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"id": [], "other": [], "owner": [], "distance": []})
-        x, y = (np.stack(v).astype(np.float64) for v in (a["embedding"], b["p_embedding"]))
-        x, y = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9) for v in (x, y))
-        out, ids, owners = [], b["p_id"].to_numpy(), b["p_owner"].to_numpy()
-        for at in range(0, len(x), 512):
-            d = 1 - x[at : at + 512] @ y.T
-            d[a["id"].to_numpy()[at : at + 512, None] == ids] = np.inf
-            best = np.lexsort((np.broadcast_to(ids, d.shape), d))[:, :k]
-            out.append(pd.DataFrame({"id": np.repeat(a["id"].to_numpy()[at : at + 512], best.shape[1]), "other": ids[best].ravel(), "owner": owners[best].ravel(), "distance": np.take_along_axis(d, best, 1).ravel()}))
+        x, y = _unit(a["embedding"]), _unit(b["p_embedding"])
+        x4, y4 = x.astype(np.float32), np.ascontiguousarray(y.astype(np.float32).T)
+        out, own, ids, owners = [], a["id"].to_numpy(), b["p_id"].to_numpy(), b["p_owner"].to_numpy()
+        shared, n = np.isin(own, ids), len(ids)
+        group = min(64, n // (4 * k))
+        for at in range(0, len(x), _TILE):
+            s = x4[at : at + _TILE] @ y4
+            for i in np.flatnonzero(shared[at : at + _TILE]):
+                s[i, ids == own[at + i]] = -np.inf
+            # the k-th best of the groups' best ones is no better than the k-th best of all
+            best = s[:, : n // group * group].reshape(len(s), -1, group).max(2) if group > 1 else s
+            least = np.partition(best, best.shape[1] - k, axis=1)[:, -k] if best.shape[1] > k else np.full(len(s), -np.inf)
+            i, j = np.nonzero((s >= least[:, None] - _OFF) & (s > -np.inf))
+            d = _exact(x[at + i], y[j])
+            order = np.lexsort((ids[j], d, i))
+            i, j, d = i[order], j[order], d[order]
+            first = np.arange(len(i)) - np.searchsorted(i, i) < k
+            i, j, d = i[first], j[first], d[first]
+            out.append(pd.DataFrame({"id": own[at + i], "other": ids[j], "owner": owners[j], "distance": d}))
         return pd.concat(out)
 
     found = left.groupBy("_b", "_c").cogroup(right.groupBy("p_b", "p_c")).applyInPandas(nearest, "id long, other long, owner long, distance double").filter("distance < double('infinity')")
@@ -107,19 +144,29 @@ def knn_vote(rows: DataFrame, placed: DataFrame, k: int = 3, far: float = 0.6, b
 
 
 def close_pairs(rows: DataFrame, most: float, blocks: int | None = None) -> DataFrame:
-    """(a, b, distance), a < b: pairs of rows (id, embedding) at a cosine distance of at most ``most``, block against block."""
+    """(a, b, distance), a < b: pairs of rows (id, embedding) at a cosine distance of at most ``most``, block against block.
+
+    Some rows of a block at a time meet the other one, so memory does not depend on the size of a block.
+    """
     blocks = blocks or _blocks(rows)
     x = rows.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_b")).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     x = x.select("id", "embedding", F.col("_b").alias("_own"), F.least("_b", "_c").alias("_b"), F.greatest("_b", "_c").alias("_c"))
 
     def pairs(g: pd.DataFrame) -> pd.DataFrame:
-        ids, own = g["id"].to_numpy(), g["_own"].to_numpy()
-        e = np.stack(g["embedding"]).astype(np.float64)
-        e /= np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-9)
-        d = 1 - e @ e.T
-        across = len(set(own)) > 1
-        i, j = np.nonzero((d <= most) & (ids[:, None] < ids) & ((own[:, None] != own) | (not across)))
-        return pd.DataFrame({"a": ids[i], "b": ids[j], "distance": d[i, j]})
+        ids, own, e = g["id"].to_numpy(), g["_own"].to_numpy(), _unit(g["embedding"])
+        one = own == own.min()
+        left, right = np.flatnonzero(one), np.flatnonzero(~one) if not one.all() else np.arange(len(g))
+        y, out = np.ascontiguousarray(e[right].astype(np.float32).T), []
+        for at in range(0, len(left), _TILE):
+            tile = left[at : at + _TILE]
+            i, j = np.nonzero(e[tile].astype(np.float32) @ y >= 1 - most - _OFF)
+            i, j = tile[i], right[j]
+            if one.all():
+                i, j = i[ids[i] < ids[j]], j[ids[i] < ids[j]]
+            d = _exact(e[i], e[j])
+            i, j, d = i[d <= most], j[d <= most], d[d <= most]
+            out.append(pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "distance": d}))
+        return pd.concat(out)
 
     diagonal = x.filter("_b = _c").groupBy("_b", "_c").applyInPandas(pairs, "a long, b long, distance double")
     return diagonal.unionByName(x.filter("_b <> _c").groupBy("_b", "_c").applyInPandas(pairs, "a long, b long, distance double"))
@@ -157,15 +204,67 @@ def average_linkage(distances: np.ndarray, threshold: float, weights: np.ndarray
     return np.argsort(np.argsort(first))[labels]
 
 
+def vector_linkage(e: np.ndarray, threshold: float) -> np.ndarray:
+    """average_linkage() of the cosine distances of unit vectors, in memory of their own size instead of its square.
+
+    The mean distance of two groups is 1 - <sum a, sum b> / (size a * size b), so sums take the place of distances. A merge never
+    brings a third group nearer than its two parts were, so what a row knew of its nearest group stays a lower bound: it is looked
+    up again only if it is the least of all. Groups without a partner within the threshold never get one and leave.
+    """
+    n = len(e)
+    label, at, s, size = np.arange(n), np.arange(n), np.array(e, np.float64), np.ones(n)
+    near, least, stale = np.zeros(n, int), np.full(n, np.inf), np.zeros(n, bool)
+    single = e.astype(np.float32)
+    for i in range(0, n, _TILE):
+        d = 1 - single[i : i + _TILE] @ single.T
+        d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
+        # in double precision among those that may be the nearest
+        r, c = np.nonzero(d <= d.min(1, keepdims=True) + _OFF)
+        exact = np.maximum(_exact(s[i + r], s[c]), 0)
+        order = np.lexsort((c, exact, r))
+        r, c, exact = r[order], c[order], exact[order]
+        first = np.unique(r, return_index=True)[1]
+        near[i + r[first]], least[i + r[first]] = c[first], exact[first]
+    live = n
+    while live > 1:
+        a = int(least.argmin())
+        if not least[a] <= threshold:
+            break
+        if stale[a]:
+            d = np.maximum(1 - (s @ s[a]) / (np.maximum(size, 1) * size[a]), 0)
+            d[(size == 0) | (np.arange(len(d)) == a)] = np.inf
+            near[a] = d.argmin()
+            # not below what was known: sums are rounded
+            least[a], stale[a] = max(d[near[a]], least[a]), False
+            continue
+        a, b = sorted((a, int(near[a])))
+        label[at[b]] = at[a]
+        s[a] += s[b]
+        size[a] += size[b]
+        s[b], size[b], least[b], stale[b] = 0, 0, np.inf, False
+        least[a] = min(least[a], threshold)
+        stale[a] = True
+        stale |= ((near == a) | (near == b)) & (size > 0)
+        live -= 1
+        if live < 0.8 * len(s):
+            kept = (size > 0) & (least <= threshold)
+            live = int(kept.sum())
+            where = np.cumsum(kept) - 1
+            # one whose nearest group has left looks again
+            stale = (stale | ~kept[near])[kept]
+            near, at, s, size, least = where[near][kept], at[kept], s[kept], size[kept], least[kept]
+    while (label != label[label]).any():
+        label = label[label]
+    _, first, labels = np.unique(label, return_index=True, return_inverse=True)
+    return np.argsort(np.argsort(first))[labels]
+
+
 def cluster(rows: DataFrame, partition: str, threshold: float, distance: str = "cosine") -> DataFrame:
     """partition, id, label: average linkage of the rows (id, embedding) of each partition, the unit that fits in a task."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("id")
-        e = np.stack(g["embedding"]).astype(np.float64)
-        e /= np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-9)
-        d = np.clip(1 - e @ e.T, 0, 2)
-        return pd.DataFrame({partition: g[partition], "id": g["id"], "label": average_linkage(d / 2 if distance == "halved" else d, threshold)})
+        return pd.DataFrame({partition: g[partition], "id": g["id"], "label": vector_linkage(_unit(g["embedding"]), threshold * 2 if distance == "halved" else threshold)})
 
     return rows.select(partition, "id", "embedding").groupBy(partition).applyInPandas(run, f"{partition} {dict(rows.dtypes)[partition]}, id long, label long")
 
