@@ -56,6 +56,16 @@ def test_alternated_against_a_plain_version(spark):
         assert [r["shot"] for r in sorted((r for r in got if r["plan"] == p), key=lambda r: r["slot"])] == alternated(own, {(k, s) for q, k, s in fits if q == p})
 
 
+def test_arranged_goes_through_its_pairs_once(spark):
+    rows = library_queries.q_arranged(spark, SMALL)
+    steps = rows._jdf.queryExecution().executedPlan().toString()
+    assert steps.count("Scan parquet") == 1 and "CoGroup" not in steps
+    slots = {}
+    for r in rows.collect():
+        slots.setdefault(r["plan"], []).append((r["slot"], r["shot"]))
+    assert len(slots) > 10 and all(sorted(k for k, _ in own) == list(range(6)) and len({s for _, s in own}) == 6 for own in slots.values())
+
+
 def at(angle):
     return [math.cos(angle), math.sin(angle)]
 
