@@ -66,6 +66,18 @@ def test_arranged_goes_through_its_pairs_once(spark):
     assert len(slots) > 10 and all(sorted(k for k, _ in own) == list(range(6)) and len({s for _, s in own}) == 6 for own in slots.values())
 
 
+def test_slots_meet_the_beats_once_when_refined(spark):
+    # forth and back over beats and slots, for both times of a slot and for its section
+    steps = library_queries.q_refined(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert steps.count("Window [last(_g") == 2
+
+
+def test_section_at_keeps_points_outside_of_all_sections(spark):
+    points = spark.createDataFrame([(1, k, 1, t) for k, t in enumerate((0.0, 29.9999995, 30.0, 59.5, 90.0, None))], "plan long, slot long, song long, t double")
+    parts = spark.createDataFrame([(1, "a", 0.0, 30.0), (1, "b", 30.0, 60.0), (1, "c", 50.0, 70.0), (2, "d", 0.0, 99.0)], "song long, label string, start double, end double")
+    assert {r["slot"]: r["_label"] for r in drafts.section_at(points, parts, ["plan", "slot"]).collect()} == {0: "a", 1: "b", 2: "b", 3: "b", 4: None, 5: None}
+
+
 def at(angle):
     return [math.cos(angle), math.sin(angle)]
 
