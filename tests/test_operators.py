@@ -13,7 +13,7 @@ from timeloom.operators import library as lib
 from timeloom.operators import overrides, speakers, stages
 from timeloom.operators import sequences as seq
 from timeloom.operators import vectors as vec
-from timeloom.plans import plans
+from timeloom.plans import effects, plans
 
 
 def rows(df, *columns):
@@ -285,3 +285,13 @@ def test_near_values_come_once_and_chance_meetings_are_rare(spark):
     got = [tuple(r) for r in vec.near_values(df, "v", 8).collect()]
     want = {(a, b) for a in values for b in values if ((a ^ b) & (2**64 - 1)).bit_count() <= 8}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_strength_at_a_beat_comes_with_the_nearest_beat(spark):
+    beats = spark.createDataFrame([(1, 1.0, 0.5), (1, 1.0, 0.9), (1, 1.0, None), (1, 2.0, None), (1, 3.0, 0.2), (3, 1.0, 0.4)], "song long, beat double, strength double")
+    slots = spark.createDataFrame([(1, 1.0), (1, 0.99), (1, 1.01), (1, 2.0), (1, 2.5), (1, 9.0), (1, None), (2, 1.0), (3, 1.0)], "song long, start double")
+    got = effects.at_beat(slots, beats, "start", "hit")
+    # the beats are not joined again to find their strength
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {(1, 1.0): (0.9, 1.0), (1, 0.99): (0.9, 1.0), (1, 1.01): (0.9, 1.0), (1, 2.0): (0.0, 2.0), (1, 2.5): (0.0, 2.0), (1, 9.0): (0.0, 3.0), (2, 1.0): (0.0, None), (3, 1.0): (0.4, 1.0)}
+    assert {(r["song"], r["start"]): (r["hit"], r["hit_beat"]) for r in got.collect() if r["start"] is not None} == want

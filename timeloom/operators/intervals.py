@@ -104,12 +104,17 @@ def complement(df: DataFrame, bounds: DataFrame, keys: Sequence[str], start: str
     return x.filter((F.col("_real") > 0) & (F.col(start) - F.col("_from") >= shortest) & (F.col(start) > F.col("_from"))).select(*keys, F.col("_from").alias(start), F.col(start).alias(end), F.col("_place").alias("place"))
 
 
-def nearest(points: DataFrame, grid: DataFrame, keys: Sequence[str], at: str, value: str, name: str = "nearest", width: float | None = None) -> DataFrame:
+def nearest(points: DataFrame, grid: DataFrame, keys: Sequence[str], at: str, value: str, name: str = "nearest", width: float | None = None, carry: tuple[str, str] | None = None) -> DataFrame:
     """points with the grid value nearest to ``at``, the earlier one on a tie; null without a grid.
 
     Two sorts of both sides by key and time, forth and back: the last value of each is carried along, so a key takes linear time.
     width: of a time bucket, for keys of more rows than a task should hold; buckets then know the values around them by a row each.
+    carry: a column of the grid, and its name in the result: the value's greatest, so that the grid need not be joined (no width).
     """
+    if carry:
+        if width:
+            raise ValueError("carry is for keys without a width")
+        return _nearest_with(points, grid, keys, at, value, name, *carry)
     both = points.withColumns({"_t": F.col(at), "_g": F.lit(None).cast(dict(grid.dtypes)[value])})
     marks = grid.select(*keys, F.col(value).alias("_t"), F.col(value).alias("_g"))
     both = both.withColumn("_point", F.lit(True)).unionByName(marks, allowMissingColumns=True)
@@ -128,3 +133,15 @@ def nearest(points: DataFrame, grid: DataFrame, keys: Sequence[str], at: str, va
     x = both.withColumns({"_b": before, "_a": behind}).filter("_point")
     pick = F.when(F.col("_b").isNull(), F.col("_a")).when(F.col("_a").isNull(), F.col("_b")).when(F.col("_a") - F.col(at) < F.col(at) - F.col("_b"), F.col("_a")).otherwise(F.col("_b"))
     return x.withColumn(name, pick).drop("_t", "_g", "_point", "_b", "_a", "_w", "_earlier", "_later")
+
+
+def _nearest_with(points: DataFrame, grid: DataFrame, keys: Sequence[str], at: str, value: str, name: str, more: str, more_name: str) -> DataFrame:
+    kinds = dict(grid.dtypes)
+    both = points.withColumns({"_t": F.col(at), "_c": F.lit(None).cast(kinds[more]), "_g": F.lit(None).cast(f"struct<g:{kinds[value]},c:{kinds[more]}>"), "_point": F.lit(True)})
+    marks = grid.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_t"), F.col(more).alias("_c"), F.struct(F.col(value).alias("g"), F.col(more).alias("c")).alias("_g"), F.lit(False).alias("_point"))
+    # at one time grid rows stand before points, the greatest one last
+    last = lambda order: F.last("_g", True).over(Window.partitionBy(*keys).orderBy(order, "_point", "_c").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    x = both.unionByName(marks, allowMissingColumns=True).withColumns({"_b": last(F.asc("_t")), "_a": last(F.desc("_t"))}).filter("_point")
+    b, a = F.col("_b"), F.col("_a")
+    pick = F.when(b.isNull(), a).when(a.isNull(), b).when(a["g"] - F.col(at) < F.col(at) - b["g"], a).otherwise(b)
+    return x.withColumn("_p", pick).withColumns({name: F.col("_p.g"), more_name: F.col("_p.c")}).drop("_t", "_c", "_g", "_point", "_b", "_a", "_p")

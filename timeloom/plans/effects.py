@@ -36,9 +36,7 @@ def strongest(slots: DataFrame, beats: DataFrame, keys: list[str], least: float
 
 def at_beat(slots: DataFrame, beats: DataFrame, at: str, name: str, song: str = "song") -> DataFrame:
     """slots with the strength of the beat at a time of theirs, 0 if there is none within BEAT_TOLERANCE, and ``name``_beat."""
-    x = nearest(slots, beats.select(song, F.col("beat").alias("_beat")), [song], at, "_beat", f"{name}_beat")
-    hit = beats.groupBy(F.col(song).alias("_song"), F.col("beat").alias("_at")).agg(F.max("strength").alias("_strength"))
-    x = x.join(hit, (F.col(song) == F.col("_song")) & (F.col(f"{name}_beat") == F.col("_at")), "left").drop("_song", "_at")
+    x = nearest(slots, beats.select(song, F.col("beat").alias("_beat"), "strength"), [song], at, "_beat", f"{name}_beat", carry=("strength", "_strength"))
     close = F.abs(F.col(f"{name}_beat") - F.col(at)) <= BEAT_TOLERANCE
     return x.withColumn(name, F.when(close, F.coalesce("_strength", F.lit(0.0))).otherwise(0.0)).drop("_strength")
 
@@ -173,9 +171,7 @@ def effect_issues(fx: DataFrame, slots: DataFrame, beats: DataFrame, plan: str =
     best = strongest(s, beats, [plan, "slot"]).select(plan, "slot", F.col("at").alias("_best"))
     x = fx.join(s, [plan, "slot"]).join(best, [plan, "slot"], "left")
     x = x.withColumn("_use", F.row_number().over(Window.partitionBy(plan, "slot", "kind").orderBy("place")))
-    x = nearest(x, beats.select("song", F.col("beat").alias("_beat")), ["song"], "at", "_beat", "_near")
-    hit = beats.groupBy(F.col("song").alias("_song"), F.col("beat").alias("_at")).agg(F.max("strength").alias("_hits"))
-    x = x.join(hit, (F.col("song") == F.col("_song")) & (F.col("_near") == F.col("_at")), "left")
+    x = nearest(x, beats.select("song", F.col("beat").alias("_beat"), F.col("strength").alias("_of")), ["song"], "at", "_beat", "_near", carry=("_of", "_hits"))
     kind, known = F.col("kind"), F.col("kind").isin(*KINDS)
     given = {"at": F.col("at").isNotNull(), "zoom": F.col("zoom").isNotNull(), "frames": F.col("frames").isNotNull(), "strength": F.col("strength").isNotNull(), "focus": F.col("x").isNotNull()}
     ignored = [("warning", "fx.ignored", (kind == k) & given[name]) for k, own in USES.items() for name in given if name not in own]
